@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, toxicity
+from . import chat_format, decontaminate, language_id, license_scan, near_dedup, piece_model, telephony, token_pack, toxicity, url_filter
+from .shared import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,15 +30,157 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = language_id.with_language(docs.select("doc_id", "text"), language_id.fit(docs))
     return judged.select("doc_id", held_out(), F.col("language.lang").alias("lang_pred"), "language.score", "language.rejected")
 
 
+#: Ids of byte_bpe_50k.json, its special token among them.
+BYTE_BPE_IDS = 50_257
+
+
+def op3_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    runs = token_pack.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), BYTE_BPE_IDS)
+
+    def measure(run: token_pack.Run, ahead: int) -> list[pa.Array]:
+        ids = memoryview(run.ids(0, run.n_ids).astype("<u4").tobytes())
+        crcs = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(run.starts[:-1].tolist(), run.starts[1:].tolist())]
+        return [token_pack.document_ids(run.doc_ids), pa.array(run.starts[:-1] + ahead), pa.array(np.diff(run.starts)), pa.array(crcs, pa.int64())]
+
+    return token_pack.read_documents(runs, measure, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: number and crc32 (as little-endian 32-bit) of its ids, digest of the decoded text, and whether it is the text."""
+    return sentencepiece_digests(_table(spark, sf_dir, "documents"))
+
+
+def sentencepiece_digests(docs: DataFrame) -> DataFrame:
+    def digest(doc_ids: pa.Array, texts: pa.Array, ids: np.ndarray, counts: np.ndarray, decoded: list[bytes]) -> list[pa.Array]:
+        ends = np.cumsum(counts)
+        data = memoryview(ids.astype("<u4").tobytes())
+        crcs = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((ends - counts).tolist(), ends.tolist())]
+        same = [t.as_buffer().to_pybytes() == d if t.is_valid else not d for t, d in zip(texts.cast(pa.binary()), decoded)]
+        return [doc_ids, pa.array(counts), pa.array(crcs, pa.int64()), pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string()), pa.array(same, pa.bool_())]
+
+    schema = "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
+    return piece_model.round_trips(docs, public_tokenizers.path("piece_bpe_32k.model"), digest, schema)
+
+
+def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.text_media_digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: The rules that op4 applies.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return url_filter.with_verdicts(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP4_SQL = """
+with parts as (
+  select page_id, case when contains(url, '://') then url[strpos(url, '://') + 3:] else '' end as rest from pages
+), cut as (
+  select page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from parts
+), rules(rule_host, rule_path, rule_verdict) as (
+  values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+)
+select page_id, host, path,
+  (select arg_max(rule_host || rule_path, length(rule_host || rule_path)) from rules where (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)) as rule,
+  coalesce((select arg_max(rule_verdict, length(rule_host || rule_path)) from rules where (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)), 'allow') as verdict
+from cut
+"""
+
+#: The conversation that op6 adds.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], turns.schema)
+    out = stored(chat_format.format_conversations(turns.unionByName(probe)), "chat")
+    read = out.withColumn("turns", chat_format.parse(F.col("formatted"))).withColumn("loss", chat_format.learned_text(F.col("formatted"), F.col("loss_spans")))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(whole, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size(F.array_distinct(F.transform("turns", lambda t: t["block"]))).cast("long").alias("n_blocks"),
+    )
+
+
+def _sql_escape(text: str) -> str:
+    for old, new in chat_format._steps():
+        text = f"replace({text}, '{old}', '{new}')"
+    return text
+
+
+OP6_SQL = f"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '{PROBE}' union all select -1, 1, 'assistant', '{PROBE}'
+), runs as (
+  select *, coalesce(role <> lag(role) over (partition by conv_id order by turn nulls first, role, text), true) as fresh from rows
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(3 + sum(length({_sql_escape('text')}) + case when fresh then length({_sql_escape('role')}) + 17 else 6 end) as bigint) as formatted_chars,
+  count(*) filter (where fresh) as n_blocks
+from runs group by conv_id
+"""
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan_licenses(docs, license_scan.templates(spark))
+
+
+def _sql_bigrams(words: str) -> str:
+    return f"list_distinct(list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]))"
+
+
+def _sql_words(text: str) -> str:
+    return f"string_split(trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g')), ' ')"
+
+
+OP7_SQL = f"""
+with templates(license, template) as (values {', '.join("('" + a + "', '" + b.replace("'", "''") + "')" for a, b in license_scan.TEMPLATES)}),
+given as (select license, {_sql_bigrams('w')} as t from (select license, {_sql_words('template')} as w from templates)),
+units as (
+  select distinct doc_id, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '\\n|[.!?]+\\s+'), string_split_regex(text, '\\n\\s*\\n'), [text])) as unit from documents
+), sets as (select doc_id, unit, {_sql_bigrams('w')} as u from (select doc_id, unit, {_sql_words('unit')} as w from units)),
+compared as (
+  select doc_id, license, unit, 2.0::double * len(list_intersect(u, t)) / (len(u) + len(t)) as dice from sets, given
+  where len(u) > 0 and len(u) between floor(len(t) * {license_scan.DICE} / (2 - {license_scan.DICE})) and ceil(len(t) * (2 - {license_scan.DICE}) / {license_scan.DICE})
+)
+select doc_id, license, max(dice) as dice, count(distinct unit) as units from compared where dice >= {license_scan.DICE} group by doc_id, license
+"""
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op8_language": op8_language}
+    named = (op1_toxicity, op2_near_dedup, op3_token_pack, op4_url_filter, op5_sentencepiece, op6_chat_format, op7_license_scan, op8_language, op9_telephony, op10_decontaminate)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_filter": OP4_SQL, "op6_chat_format": OP6_SQL, "op7_license_scan": OP7_SQL}

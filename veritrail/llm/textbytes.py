@@ -115,6 +115,9 @@ class SegmentCache:
         self._at: dict[int, int] = {}
         self._pool: np.ndarray | None = None
 
+    def held(self) -> int:
+        return len(self._at)
+
     def find(self, segments: Segments) -> tuple[np.ndarray, np.ndarray]:
         """For each segment the number of its distinct segment, and the row of values of each number."""
         codes, unique = pd.factorize(segments.hashes())
