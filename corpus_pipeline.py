@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import language_id, toxicity
+from veritrail.llm import decontaminate, language_id, near_dedup, queries, toxicity
+from veritrail.llm.shared import BROADCAST_ROWS, stored
 
 #: A document is dropped as toxic from this score on.
 TOXIC_FROM = 0.5
@@ -27,7 +28,41 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return judged.filter(~F.col("_language.rejected")).select(docs.columns)
 
 
-STAGES = [("toxicity", drop_toxic), ("language", keep_languages)]
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose id is not in ``ids`` (doc_id); those with a null id stay."""
+    ids = stored(ids.select("doc_id").distinct(), "pipeline-ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class of copies and near copies; of repeated ids one row."""
+    classes = stored(near_dedup.near_duplicate_classes(docs), "pipeline-classes").filter(F.col("doc_id").isNotNull())
+    kept = _without(docs, classes.filter("doc_id <> class_id"))
+    repeated = classes.groupBy("doc_id").count().filter("count > 1")
+    if repeated.isEmpty():
+        return kept.select(docs.columns)
+    again = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return _without(kept, repeated).select(docs.columns).unionByName(again.select(docs.columns))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of ``benchmark``."""
+    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, leaks).select(docs.columns)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and checksum of each document's SentencePiece ids, and whether they decode to its text."""
+    return queries.sentencepiece_digests(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language", keep_languages),
+    ("near_dedup", one_of_each),
+    ("decontamination", drop_leaks),
+    ("sentencepiece", pieces),
+]
 
 #: Trained models and similarity search have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
@@ -35,11 +70,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``, each to the stored result of the one before."""
-    from veritrail.llm.shared import stored
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

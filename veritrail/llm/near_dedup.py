@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textbytes as tb
 from .components import components
@@ -83,7 +84,7 @@ def _throw(rows: np.ndarray, element: np.ndarray, weight: np.ndarray, until: np.
     rank = 0
     while len(at):
         rank += 1
-        h = tb.mix64(seed + np.uint64(rank) * _GOLDEN)
+        h = tb.mix64(seed + np.uint64(rank * int(_GOLDEN) & 0xFFFFFFFFFFFFFFFF))
         time = time - np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / width
         lives = time < end
         at, low, width, seed, time, end, h = (x[lives] for x in (at, low, width, seed, time, end, h))
@@ -123,7 +124,7 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return h.astype(np.int64)
 
 
-@F.arrow_udf("struct<weight long, bands array<long>>")
+@F.arrow_udf(T.StructType([T.StructField("weight", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
 def sketch(norm: pa.Array) -> pa.Array:
     """Total weight and band hashes of texts of space-separated words."""
     weights, bands = [np.empty(0, np.int64)], [np.empty((0, BANDS), np.int64)]
@@ -138,7 +139,7 @@ def sketch(norm: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(weight), listed], ["weight", "bands"])
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
     """Weighted Jaccard similarity of the shingle bags of two texts of space-separated words."""
     out = [np.empty(0)]
