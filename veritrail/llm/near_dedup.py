@@ -35,6 +35,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: 24 bands of 5: a pair at similarity 0.8 meets in a band with probability 0.99993.
 BANDS, BAND_ROWS = 24, 5
+#: Texts sketched at once; each throws about a thousand darts, however short it is.
+SKETCH_ROWS = 256
 _KEY_BITS = np.uint64(44)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,7 +130,7 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 def sketch(norm: pa.Array) -> pa.Array:
     """Total weight and band hashes of texts of space-separated words."""
     weights, bands = [np.empty(0, np.int64)], [np.empty((0, BANDS), np.int64)]
-    for part in tb.slices(pa.record_batch([norm], ["t"]), "t"):
+    for part in tb.slices(pa.record_batch([norm], ["t"]), "t", max_rows=SKETCH_ROWS):
         keys, counts = elements(*tb.text_bytes(part.column(0)))
         weights.append(np.bincount((keys >> _KEY_BITS).astype(np.int64), counts, part.num_rows).astype(np.int64))
         bands.append(band_hashes(signatures(keys, counts, part.num_rows)))

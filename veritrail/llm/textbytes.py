@@ -40,14 +40,14 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows of at most ``max_bytes`` of text; a longer text is a run by itself."""
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES, max_rows: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of at most ``max_rows`` rows and ``max_bytes`` of text; a longer text is a run by itself."""
     lengths = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
     ends = np.cumsum(lengths)
     at = 0
     while at < len(ends):
         before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + max_bytes, "right")))
+        to = min(at + max_rows, max(at + 1, int(np.searchsorted(ends, before + max_bytes, "right"))))
         yield batch.slice(at, to - at)
         at = to
 
