@@ -5,10 +5,10 @@ counts, so an expression which neither class has seen often scores alike under b
 document is judged by its length-normalised log-likelihood ratio and by how densely its
 words' own ratios pass fixed marks; a logistic regression turns these into a score.
 
-Defined results: a null or empty text has no words and gets the score of a text without
-evidence; rows with a null id or label teach nothing; a document labelled twice counts
-by its higher label, and repeated document rows are each scored; without any labelled
-row every score is 0; a column named like the output is replaced.
+Defined results: a null or empty text has no words and scores 0; rows with a null id or
+label teach nothing; a document labelled twice counts by its higher label, and repeated
+document rows are each scored; without any labelled row every score is 0; a column named
+like the output is replaced.
 """
 
 from __future__ import annotations
@@ -35,17 +35,20 @@ RIDGE = 3.0
 @dataclass
 class ToxicityModel:
     model: kn.Model
+    low: np.ndarray  # the range of each feature in calibration, to which others are clipped
+    high: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
 
     def score(self, column: pa.Array) -> np.ndarray:
-        z = np.c_[(features(kn.scorer(self.model), column) - self.mean) / self.scale, np.ones(len(column))]
-        return 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
+        x, words = features(kn.scorer(self.model), column)
+        z = np.c_[(np.clip(x, self.low, self.high) - self.mean) / self.scale, np.ones(len(column))]
+        return np.where(words > 0, 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30))), 0.0)
 
 
-def features(scorer: kn.DocumentScorer, column: pa.Array) -> np.ndarray:
-    """By row: densities of words past the marks on either side, mass past them, mean ratio and length."""
+def features(scorer: kn.DocumentScorer, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """By row: densities of words past the marks on either side, mass past them, mean ratio and length; and the words."""
     seg, codes, table = scorer.words(column)
     rows, n = seg.rows, len(column)
     count = seg.per_row.astype(float)
@@ -64,7 +67,7 @@ def features(scorer: kn.DocumentScorer, column: pa.Array) -> np.ndarray:
     out.append(total(ratio) / np.maximum(characters, 1))
     out.append(total(np.clip(ratio, -1, 6)) / np.maximum(count, 1))
     out.append(np.log(np.maximum(count, 1)))
-    return np.stack(out, 1)
+    return np.stack(out, 1), seg.per_row
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,17 +116,17 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = 5, shared: int = 3, has
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = kn.by_slices(batch.column("norm"), lambda c: features(kn.scorer(shared_model.value), c))
+            x = kn.by_slices(batch.column("norm"), lambda c: features(kn.scorer(shared_model.value), c)[0])
             yield pa.record_batch([batch.column("cls"), pa.array(list(x), pa.list_(pa.float64()))], names=["cls", "x"])
 
     rows = labelled(sample).select("cls", "norm").mapInArrow(measure, "cls int, x array<double>").toArrow()
     if not rows.num_rows:
         share = counts.groupBy().agg(F.sum(F.when(F.col("cls") == 1, F.col("n")).otherwise(0)) / F.sum("n")).first()[0]
         width = 2 * len(MARKS) + len(EXCESS) + 3
-        return ToxicityModel(model, np.zeros(width), np.ones(width), np.r_[np.zeros(width), np.log(((share or 0) + 1e-6) / (1 - (share or 0) + 1e-6))])
+        return ToxicityModel(model, *np.zeros((3, width)), np.ones(width), np.r_[np.zeros(width), np.log(((share or 0) + 1e-6) / (1 - (share or 0) + 1e-6))])
     order_ = np.lexsort(np.stack(rows.column("x").to_pylist()).T)  # sums of floats, in an order that the rows fix
     x = np.stack(rows.column("x").to_pylist())[order_]
-    return ToxicityModel(model, *fit_logistic(x, np.asarray(rows.column("cls"))[order_].astype(float)))
+    return ToxicityModel(model, x.min(0), x.max(0), *fit_logistic(x, np.asarray(rows.column("cls"))[order_].astype(float)))
 
 
 def with_toxicity(df: DataFrame, fitted: ToxicityModel | None, text: str = "text", output: str = "toxicity") -> DataFrame:
