@@ -28,9 +28,10 @@ WINDOW, MISMATCHES = 13, 2
 LEAST_WORDS = 5
 
 
-def _word_hashes(text: Column) -> Column:
-    norm = normal_words(text)
-    return F.transform(F.when(norm != "", F.split(norm, " ")).otherwise(F.array().cast("array<string>")), lambda w: F.xxhash64(w))
+def _with_words(rows: DataFrame, identity: str, text: str, named: str) -> DataFrame:
+    """(``named``, words): hashes of each text's words in order; a null text has none."""
+    norm = rows.select(F.col(identity).alias(named), normal_words(F.col(text)).alias("norm"))
+    return norm.select(named, F.transform(F.filter(F.split("norm", " "), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("words"))
 
 
 def _positions(n: Column, mask: str) -> Column:
@@ -38,10 +39,10 @@ def _positions(n: Column, mask: str) -> Column:
 
 
 def _masked(words: Column, mask: str) -> Column:
-    """The hash of the masked words at every position of a text."""
+    """The hash of the masked words at every position of a text; the mask is part of it, as a number."""
     kept = [k for k, c in enumerate(mask) if c == "1"]
     count = _positions(F.size(words), mask)
-    hashes = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(F.lit(mask), *(F.get(words, i + k) for k in kept)))
+    hashes = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(F.lit(int(mask, 2)), *(F.get(words, i + k) for k in kept)))
     return F.when(count > 0, hashes).otherwise(F.array().cast("array<long>"))
 
 
@@ -63,7 +64,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     document's word at which its first leaking window begins.  The seeds of the benchmark
     are broadcast while they are at most ``BROADCAST_ROWS``; beyond that the join shuffles.
     """
-    items = benchmark.select(F.col(item_id).alias("item_id"), _word_hashes(F.col(item_text)).alias("words")).dropna().distinct()
+    items = _with_words(benchmark, item_id, item_text, "item_id").dropna().distinct()
     items = stored(items.withColumn("item_words", F.size("words")).filter(F.col("item_words") >= LEAST_WORDS), "leak-items")
     short = sorted(r.item_words for r in items.filter(F.col("item_words") < WINDOW).select("item_words").distinct().collect())
     seeds = _seeded(items.filter(F.col("item_words") >= WINDOW), list(SEEDS), "item_id")
@@ -71,7 +72,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         seeds = seeds.unionByName(_seeded(items.filter(F.col("item_words") == n), ["1" * n], "item_id"))
     seeds = stored(seeds.select("seed", "item_id", F.col("at").alias("item_at")), "leak-seeds")
 
-    words = docs.select(F.col(doc_id).alias("doc_id"), _word_hashes(F.col(text)).alias("words")).filter(F.col("doc_id").isNotNull())
+    words = _with_words(docs.filter(F.col(doc_id).isNotNull()), doc_id, text, "doc_id")
     small = seeds.count() <= BROADCAST_ROWS
     met = _seeded(words, [*SEEDS, *("1" * n for n in short)], "doc_id").join(F.broadcast(seeds) if small else seeds, "seed")
     lines = stored(met.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "leak-hits")
