@@ -11,6 +11,8 @@ Bands of coordinates are joined by hash.  A band's texts are first compared with
 smallest only, a number of pairs linear in the rows.  Once the confirmed links are
 components, texts of one band that are still in different components are compared too,
 so no link that the bands offer is lost; within a component nothing is left to find.
+Before that, shingles that no other such text has are counted: what is left of a text
+bounds its similarity to any other, and pairs beyond the bound are not formed.
 
 Defined results: copies are texts with equal words in order (letter case and punctuation
 aside), and null or wordless texts are copies of one another; a text shorter than a
@@ -20,6 +22,8 @@ rows come back repeated; rows with a null id come back with a null class.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -166,6 +170,22 @@ def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return full.filter(similarity("norm_a", "norm_b") >= threshold).select("a", "b").distinct()
 
 
+def _lone_weight(texts: DataFrame) -> DataFrame:
+    """(node, lone): the weight of each text's shingles that no other of ``texts`` (node, norm) has."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in tb.slices(whole, "norm"):
+                keys, counts = elements(*tb.text_bytes(batch.column("norm")))
+                node = batch.column("node").take(pa.array((keys >> _KEY_BITS).astype(np.int64)))
+                element = (keys & ((np.uint64(1) << _KEY_BITS) - np.uint64(1))).astype(np.int64)
+                yield pa.record_batch([node, pa.array(element), pa.array(counts.astype(np.int64))], names=["node", "element", "w"])
+
+    rows = texts.select("node", "norm").mapInArrow(shingles, "node long, element long, w long")
+    single = rows.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("w").alias("w")).filter("n = 1")
+    return single.groupBy("node").agg(F.sum("w").alias("lone"))
+
+
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """(doc_id, copy_of, class_id): for every row the smallest id with the same words and the smallest id of its class."""
     norm = normal_words(F.col(text))
@@ -187,10 +207,14 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
         meeting.join(first, "node", "left").select("bucket", "node", "weight", F.coalesce("component", "node").alias("component")), "dedup-placed"
     )
     torn = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    apart = placed.join(torn, "bucket")
-    left = apart.select("bucket", F.col("node").alias("a"), F.col("weight").alias("wa"), F.col("component").alias("ca"))
-    right = apart.select("bucket", F.col("node").alias("b"), F.col("weight").alias("wb"), F.col("component").alias("cb"))
-    close = F.least("wa", "wb") >= threshold * F.greatest("wa", "wb")
+    apart = stored(placed.join(torn, "bucket"), "dedup-apart")
+    several = nodes.groupBy("node").count().filter("count > 1")
+    lone = _lone_weight(texts.join(apart.select("node").distinct(), "node", "left_semi")).join(several, "node", "left_anti")
+    apart = apart.join(stored(lone, "dedup-lone"), "node", "left").withColumn("common", F.col("weight") - F.coalesce("lone", F.lit(0)))
+    apart = apart.filter(F.col("common") >= threshold * F.col("weight"))
+    left, right = (apart.select("bucket", F.col("node").alias(x), F.col("weight").alias(f"w{x}"), F.col("common").alias(f"m{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
+    most = F.least("ma", "mb")
+    close = most >= threshold * (F.col("wa") + F.col("wb") - most)
     rest = left.join(right, "bucket").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close)
     rest = rest.select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
     more = stored(_linked(rest, texts, threshold), "dedup-more-links")
