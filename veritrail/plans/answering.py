@@ -54,10 +54,11 @@ def answer(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, replies:
     """
     judged = security.with_verdict(questions.select("qid", "message", "vec"), "message")
     asked = judged.filter(~F.col("verdict.is_injection")).select("qid", "message", "vec")
-    hits = fusion.expand_siblings(fusion.retrieve(chunks, vectors, asked, top_k=top_k), chunks)
-    said = statements(hits, chunks)
+    found = fusion.retrieve(chunks, vectors, asked, top_k=top_k).persist()
+    hits = fusion.expand_siblings(found, chunks).persist()  # read four times below; a lost part is computed again
+    said = statements(hits, chunks).persist()
     scored = scored_statements(hits, said, asked, lexical.document_frequencies(chunks.select("position", "text")))
-    strong = selection.above_floor(scored.filter(F.col("peak") >= PEAK_FLOOR)).join(said.select("position", "n", "statement"), ["position", "n"])
+    strong = selection.above_floor(scored.filter(F.col("peak") >= PEAK_FLOOR)).join(said.select("position", "n", "statement"), ["position", "n"]).persist()
     ordered = strong.select(
         "qid", F.struct(T.is_negative_evidence(F.col("statement")).alias("absent"), (-F.round("peak", 9)).alias("peak"), (-F.round("score", 9)).alias("score"), "position", "n").alias("rank"), "statement"
     )

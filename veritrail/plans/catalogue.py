@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, dense, evidence, fusion, lexical, matching, security, selection
+from ..operators import chunking, classify, context, dense, evidence, fusion, lexical, matching, security, selection
+from . import answering
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -257,3 +258,58 @@ def distinct_statements(spark, sf_dir):
     best = lexical.top(lexical.search(chunks(spark, sf_dir), questions(spark, sf_dir)), 3)
     said = best.join(chunks(spark, sf_dir), "position").select("qid", F.col("rank").alias("doc"), F.posexplode(T.split_sentences(F.col("text"))).alias("n", "statement"))
     return selection.without_repeats(said.select("qid", (F.col("doc") * 1_000_000 + F.col("n")).alias("rank"), "statement"), 5)
+
+
+@query()
+def classified_messages(spark, sf_dir):
+    judged = classify.classify(marked_messages(spark, sf_dir), text="text")
+    return judged.select("message_id", F.col("classification.class").alias("class"), "classification.smalltalk", F.array_join("classification.topics", ",").alias("topics"))
+
+
+@query()
+def fenced_blocks(spark, sf_dir):
+    held = context.with_context(chunks(spark, sf_dir))
+    return held.select("position", "hostile", F.length(context.rendered(F.col("source_file"), F.lit(None).cast("double"), F.col("safe_text"), F.col("hostile"))).alias("block_chars"))
+
+
+@query()
+def answer_pipeline(spark, sf_dir):
+    own, near, asked = hybrid_inputs(spark, sf_dir)
+    return answering.answer(asked, own.withColumn("section", F.lit("Document")), near)
+
+
+@query(f"with {HYBRID_SQL} select qid, source as source_file, round(max(fused), 9) as doc_score from hits join documents on position = doc_id group by all")
+def best_document_scores(spark, sf_dir):
+    best = fusion.best_document_scores(fusion.retrieve(*hybrid_inputs(spark, sf_dir)))
+    return best.select("qid", "source_file", F.round("doc_score", 9).alias("doc_score"))
+
+
+@query("select doc_id as position, source || chr(10) || text as lexical_text from documents")
+def lexical_projection(spark, sf_dir):
+    return chunks(spark, sf_dir).select("position", F.concat("source_file", F.lit("\n"), "text").alias("lexical_text"))
+
+
+@query(
+    "select doc_id as position, source || ' :: Document' as citation, source || '-' || lpad(cast(doc_id % 10000 as varchar), 4, '0') || '-' || "
+    "left(sha256(source || chr(1) || 'Document' || chr(1) || cast(doc_id as varchar)), 12) as label from documents"
+)
+def citations(spark, sf_dir):
+    label = F.concat_ws("-", "source_file", F.lpad((F.col("position") % 10000).cast("string"), 4, "0"), F.substring(F.sha2(F.concat_ws("\u0001", "source_file", F.lit("Document"), F.col("position").cast("string")), 256), 1, 12))
+    return chunks(spark, sf_dir).select("position", T.citation(F.col("source_file"), F.lit("Document")).alias("citation"), label.alias("label"))
+
+
+@query("select count(*) as chunks, count(distinct source) as documents, array_to_string(list_sort(list(distinct source)), ',') as source_files from documents")
+def index_summary(spark, sf_dir):
+    own = chunks(spark, sf_dir)
+    return own.agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("source_file").alias("documents"), F.array_join(F.sort_array(F.collect_set("source_file")), ",").alias("source_files"))
+
+
+@query(
+    f"with {NEAR_SQL}, scoped as (select near.* from near join documents on position = doc_id where source in ('src1', 'src2')) "
+    "select qid, position, round(similarity, 6) as similarity from scoped where similarity >= 0.0"
+)
+def dense_scoped(spark, sf_dir):
+    """Scoped search keeps all that pass, however many."""
+    found = dense.search(vectors(spark, sf_dir), query_vectors(spark, sf_dir), None, 0.0)
+    files = chunks(spark, sf_dir).filter(F.col("source_file").isin("src1", "src2")).select("position")
+    return found.join(files, "position", "left_semi").select("qid", "position", F.round("similarity", 6).alias("similarity"))
