@@ -7,8 +7,8 @@ agree in a coordinate with the probability of their weighted Jaccard similarity.
 time up to which darts are thrown shrinks with a text's total weight, so all texts throw
 about as many.
 
-Bands of coordinates are joined by hash.  A band's texts are first compared with its
-smallest only, a number of pairs linear in the rows.  Once the confirmed links are
+Bands of coordinates are joined by hash.  A text is first compared with the smallest text
+of all its bands only, one pair a text.  Once the confirmed links are
 components, texts of one band that are still in different components are compared too,
 so no link that the bands offer is lost; within a component nothing is left to find.
 Before that, shingles that no other such text has are counted: what is left of a text
@@ -197,7 +197,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     rows = nodes.select("node", "weight", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "a")
     meeting = stored(rows.join(shared, "bucket"), "dedup-buckets")
-    star = stored(meeting.filter("a < node").select("a", F.col("node").alias("b")).distinct(), "dedup-star")
+    star = stored(meeting.filter("a < node").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "dedup-star")
     ids = meeting.select("node").distinct()
     texts = stored(known.join(ids, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "norm").distinct(), "dedup-texts")
     links = stored(_linked(star, texts, threshold), "dedup-links")
