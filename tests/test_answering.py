@@ -23,7 +23,7 @@ def tables(spark):
 
 def test_answers(spark):
     got = {r.qid: r for r in answering.answer(*tables(spark)).collect()}
-    assert got[0].outcome == "answered" and "glaciology" in got[0].response and got[0].sources == ["edu.md :: Study"]
+    assert got[0].outcome == "answered" and got[0].response.startswith("Anna studied glaciology") and "edu.md :: Study" in got[0].sources
     assert got[1].response.startswith("Anna worked as a harbour pilot in Bergen.") and "guess" not in got[1].response
     assert got[2].outcome == "blocked_injection" and got[2].rule_ids == ["ignore_previous_instructions"] and got[2].sources == []
     assert {got[3].outcome, got[4].outcome} == {"no_context"}
