@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veritrail.llm import kneser_ney as kn
 from veritrail.llm import language_id, toxicity
@@ -115,3 +116,24 @@ def test_language(spark):
     assert long_text.lang == "aa" and not long_text.rejected
     assert language_id.fit(docs.limit(0)) is None
     assert {r.language.lang for r in language_id.with_language(docs, None).collect()} == {"und"}
+
+
+def test_every_gram_and_context_keeps_its_own_key(spark):
+    rng = random.Random(6)
+    words = ["".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(12)) for _ in range(5_000)]
+    rows = [(k, " ".join(words[at : at + 50]), "aa", at // 50 % 2) for k, at in enumerate(range(0, len(words), 50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    marked = docs.select("doc_id", (toxicity.fold(F.col("doc_id")) % 4 != 2).alias("known"), (F.floor(toxicity.fold(F.col("doc_id")) / 4) % 5 == 0).alias("calibrates")).collect()
+
+    def distinct(counted, m):
+        padded = [kn._START * 4 + w + kn._END for k in counted for w in rows[k][1].split()]
+        ends = [p[: i + 1] for p in padded for i in range(4, len(p))]
+        return len({e[-m:] for e in ends}), len({e[-m:-1] for e in ends})
+
+    models = (
+        (language_id.fit(docs).model, [r.doc_id for r in marked if r.known]),
+        (toxicity.fit(docs, docs).model, [r.doc_id for r in marked if r.known and not r.calibrates]),
+    )
+    for model, counted in models:
+        for m in (4, 5):
+            assert (len(model.levels[m - 1].keys), len(model.levels[m - 1].contexts)) == distinct(counted, m)

@@ -7,10 +7,11 @@ class or pooled over all classes, which smooths what a class has rarely seen.
 
 Counting is distributed: words are counted in Arrow batches, summed by Spark, cut into
 grams by Spark expressions and summed again.  Grams are then keyed by ``hash_bits`` bits
-of a hash, so that a model has at most ``2**hash_bits`` keys an order however large the
-corpus is; that bound is what makes it fit to broadcast.  Grams which share a key share
-its counts; nothing is dropped.  Each order is a sorted array of keys with a row of
-values by class, looked up by binary search.
+of a hash; with 64, as the operators use, every gram has a key of its own (a billion
+grams share one with a probability of 0.03).  A model so has as many keys as the corpus
+has distinct grams and grows with it.  Counts are kept by key and context, so every
+context has its own total.  Each order is a sorted array of keys with a row of values by
+class, looked up by binary search.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .shared import stored
 
 _START, _END = "\u0002", "\u0003"
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -64,7 +66,7 @@ def _keys(codes: np.ndarray, order: int, bits: int) -> np.ndarray:
         shifted = codes if not back else np.concatenate([np.zeros(back, np.uint64), codes[:-back]])
         h = (h ^ shifted) * _STEP
         h ^= h >> np.uint64(29)
-    return (tb.mix64(h) >> np.uint64(64 - bits)).astype(np.uint32)
+    return tb.mix64(h) >> np.uint64(64 - bits)
 
 
 def _gram_levels(counts: DataFrame, order: int, shared: int) -> list[tuple[int, DataFrame]]:
@@ -94,10 +96,10 @@ def _hashed(level: DataFrame, order: int, bits: int) -> DataFrame:
             if order > 1:
                 context = _keys(codes, order - 1, bits)[at - 1]
             else:
-                context = np.zeros(len(at), np.uint32)
+                context = np.zeros(len(at), np.uint64)
             key = _keys(codes, order, bits)[at]
             yield pa.record_batch(
-                [pa.array(np.full(len(at), order, np.int32)), batch.column("cls"), pa.array(key.astype(np.int64)), pa.array(context.astype(np.int64)), batch.column("n")],
+                [pa.array(np.full(len(at), order, np.int32)), batch.column("cls"), pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), batch.column("n")],
                 names=["m", "cls", "key", "ctx", "n"],
             )
 
@@ -132,7 +134,7 @@ class Model:
         at = np.flatnonzero(codes != ord(_START))
         p = np.full((len(at), self.classes), 1e-6, np.float64)
         for m, level in enumerate(self.levels, 1):
-            context = _keys(codes, m - 1, self.bits)[at - 1] if m > 1 else np.zeros(len(at), np.uint32)
+            context = _keys(codes, m - 1, self.bits)[at - 1] if m > 1 else np.zeros(len(at), np.uint64)
             found, has = _find(level.contexts, context)
             p *= np.where(has[:, None], level.backoffs[found], 1.0)
             found, has = _find(level.keys, _keys(codes, m, self.bits)[at])
@@ -155,8 +157,9 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def train(counts: DataFrame, order: int, hash_bits: int, classes: int, shared: int = 0) -> Model:
     """Build a model from (cls, word, n).
 
-    The driver receives at most ``2**hash_bits`` rows for each class and order, whatever
-    the corpus size; classes are at most ``MAX_CLASSES``.  Orders up to ``shared`` are pooled.
+    The counts by key are stored, and the driver receives them an order at a time: a row
+    for each class and distinct gram.  Classes are at most ``MAX_CLASSES``.  Orders up to
+    ``shared`` are pooled.
     """
     if classes > MAX_CLASSES:
         raise ValueError(f"{classes} classes; a model has at most {MAX_CLASSES}")
@@ -164,12 +167,12 @@ def train(counts: DataFrame, order: int, hash_bits: int, classes: int, shared: i
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)
-    rows = table.groupBy("m", "cls", "key").agg(F.sum("n").alias("n"), F.min("ctx").alias("ctx")).toArrow()
-    m_all, cls_all, key_all, ctx_all, n_all = (np.asarray(rows.column(c)) for c in ("m", "cls", "key", "ctx", "n"))
+    table = stored(table.groupBy("m", "cls", "key", "ctx").agg(F.sum("n").alias("n")), "gram-counts")
     model = Model(order, hash_bits, classes)
     for m in range(1, order + 1):
-        own = m_all == m
-        cls, key, ctx, n = cls_all[own], key_all[own].astype(np.uint32), ctx_all[own].astype(np.uint32), n_all[own]
+        rows = table.filter(F.col("m") == m).select("cls", "key", "ctx", "n").toArrow()
+        cls, key, ctx, n = (np.asarray(rows.column(c)) for c in ("cls", "key", "ctx", "n"))
+        key, ctx = key.view(np.uint64), ctx.view(np.uint64)
         columns = 1 if m <= shared else classes
         keys, contexts = np.unique(key), np.unique(ctx)
         probs = np.zeros((len(keys), columns), np.float32)
@@ -183,7 +186,7 @@ def train(counts: DataFrame, order: int, hash_bits: int, classes: int, shared: i
             discount = once / (once + 2 * twice) if once and twice else 0.5
             total = np.bincount(at, count, len(contexts))
             types = np.bincount(at, minlength=len(contexts))
-            probs[np.searchsorted(keys, key[mine]), c] = np.maximum(count - discount, 0) / total[at]
+            np.maximum.at(probs[:, c], np.searchsorted(keys, key[mine]), (np.maximum(count - discount, 0) / total[at]).astype(np.float32))
             seen = total > 0
             backoffs[seen, c] = discount * types[seen] / total[seen]
         model.levels.append(Level(keys, probs, contexts, backoffs))

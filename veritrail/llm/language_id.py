@@ -58,7 +58,7 @@ class LanguageModel:
         return best, np.where(n > 0, score, 0.0), (n == 0) | (own > self.mean[best] + REJECT_AT * width)
 
 
-def fit(docs: DataFrame, order: int = 5, hash_bits: int = 20, calibration_rows: int = CALIBRATION_ROWS) -> LanguageModel | None:
+def fit(docs: DataFrame, order: int = 5, hash_bits: int = 64, calibration_rows: int = CALIBRATION_ROWS) -> LanguageModel | None:
     """Learn from ``docs`` (doc_id, text, lang), without ids whose crc32 mod 4 is 2.
 
     All such texts are counted.  The rejection is calibrated on about

@@ -91,7 +91,7 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, order: int = 5, shared: int = 3, hash_bits: int = 22, calibration_rows: int = CALIBRATION_ROWS) -> ToxicityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, order: int = 5, shared: int = 3, hash_bits: int = 64, calibration_rows: int = CALIBRATION_ROWS) -> ToxicityModel | None:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), without ids whose crc32 mod 4 is 2.
 
     A fifth of the labelled documents by hash is kept for calibration, of which at most
