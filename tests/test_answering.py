@@ -44,3 +44,12 @@ def test_repeats_are_left_out(spark):
     assert selection.without_repeats(df, 5).first().kept == [said[0], said[3]]
     row = df.select(selection.jaccard(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"))).alias("j"), selection.jaccard(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("z")).first()
     assert (row.j, row.z) == (0.5, 0.0)
+
+
+def test_statements_behind_many_repeats_are_kept(spark):
+    said = ["Anna built a satellite imagery pipeline."] * 30 + [f"Anna built a satellite imagery pipeline {k}." for k in range(30)]
+    said += ["Birds nest near the river.", "birds nest near the river", "Harbour pilots speak Norwegian."]
+    df = spark.createDataFrame([(q, {"n": k}, s) for q in (1, 2) for k, s in enumerate(said)], "qid int, rank struct<n:int>, statement string")
+    got = {r.qid: r.kept for r in selection.without_repeats(df, 5).collect()}
+    assert got == {q: [said[0], said[60], said[62]] for q in (1, 2)}
+    assert selection.without_repeats(df, 2).first().kept == [said[0], said[60]]

@@ -32,16 +32,18 @@ def above_floor(scored: DataFrame, peak: str = "peak", floor: float = SCORE_FLOO
 def without_repeats(statements: DataFrame, most: int) -> DataFrame:
     """(qid, kept): the first ``most`` statements (qid, rank, statement) that repeat none kept before.
 
-    Repeats are equal keys, half of the terms shared, or a restatement.  The fold needs
-    its order, so at most ``4 * most`` candidates a question are ranked into it.
+    Repeats are equal keys, half of the terms shared, or a restatement.  Equal keys are
+    aggregated first, since they have equal terms; the fold goes through all that remain.
     """
-    pool = statements.withColumn("_k", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "statement"))).filter(F.col("_k") <= 4 * most)
-    ready = pool.select("qid", F.struct(F.col("_k").alias("k"), F.col("statement").alias("s"), T.normalise_key(F.col("statement")).alias("key"), F.array_distinct(T.content_terms(F.col("statement"))).alias("terms")).alias("x"))
-    kind = "array<struct<k:int,s:string,key:string,terms:array<string>>>"
+    keyed = statements.select("qid", T.normalise_key(F.col("statement")).alias("key"), F.struct("rank", F.col("statement").alias("s")).alias("x"))
+    first = keyed.groupBy("qid", "key").agg(F.min("x").alias("x"))
+    ready = first.select("qid", F.struct("x.rank", "x.s", F.array_distinct(T.content_terms(F.col("x.s"))).alias("terms")).alias("x"))
+    kind = "array<struct<s:string,terms:array<string>>>"
 
     def add(kept: Column, x: Column) -> Column:
-        repeats = F.exists(kept, lambda y: (x["key"] == y["key"]) | (jaccard(x["terms"], y["terms"]) >= SAME_SHARE) | restates(x["terms"], y["terms"]))
-        return F.when(repeats | (F.size(kept) >= most), kept).otherwise(F.concat(kept, F.array(x)))
+        repeats = F.exists(kept, lambda y: (jaccard(x["terms"], y["terms"]) >= SAME_SHARE) | restates(x["terms"], y["terms"]))
+        return F.when((F.size(kept) >= most) | repeats, kept).otherwise(F.concat(kept, F.array(x)))
 
     grouped = ready.groupBy("qid").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    return grouped.select("qid", F.transform(F.aggregate("xs", F.array().cast(kind), add), lambda x: x["s"]).alias("kept"))
+    ordered = F.transform("xs", lambda x: F.struct(x["s"].alias("s"), x["terms"].alias("terms")))
+    return grouped.select("qid", F.transform(F.aggregate(ordered, F.array().cast(kind), add), lambda x: x["s"]).alias("kept"))
