@@ -123,6 +123,18 @@ def test_licences(spark, tmp_path):
     assert license_scan.scan_licenses(docs, license_scan.templates(spark).limit(0)).count() == 0
 
 
+def test_licences_inside_longer_texts(spark):
+    by = {}
+    for name, text in license_scan.TEMPLATES:
+        by.setdefault(name, []).append(text)
+    prose = "The harbour was quiet that morning and nobody spoke of it while grey boats turned slowly around their ropes under low clouds, as people on every pier waited for news"
+    wrapped = "/*\n * " + by["GPL-3.0"][1].replace(" the ", " the\n *\n * ") + f" {prose}\n *\n * You should have received a copy of it. See the file for more.\n */\nint main"
+    texts = [f"{prose}. {by['Apache-2.0'][1]} {prose}.", f"{prose}: {by['MPL-2.0'][0]} {prose}.", f"{prose} {by['BSD-3-Clause'][0]} {prose * 3}", wrapped, prose * 40, f"{prose} of the software, {prose} to the public domain " * 9]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.license): (r.dice, r.units) for r in license_scan.scan_licenses(docs, license_scan.templates(spark)).collect()}
+    assert {k: v for k, v in got.items() if k[0] != 0 or k[1] == "Apache-2.0"} == {(0, "Apache-2.0"): (1.0, 1), (1, "MPL-2.0"): (1.0, 1), (2, "BSD-3-Clause"): (1.0, 1), (3, "GPL-3.0"): (1.0, 1)}
+
+
 def test_companding_tables():
     mu, a = telephony.TABLES[telephony.MULAW].astype(int), telephony.TABLES[telephony.ALAW].astype(int)
     assert (mu[0xFF], mu[0x7F], mu[0x00], mu[0x80]) == (0, 0, -32124, 32124)
