@@ -12,6 +12,11 @@ from veritrail.llm import chat_format, license_scan, piece_model, queries, telep
 ODD = ["", " ", "  ", "a  b", "   lead", "trail  ", "\n\n", "tab\tx", "日本語のテキスト", "emoji 😀 x", "a▁b", "\0nul", "x" * 50, "<s> </s> <0x0A>", "é" * 9, "....,,,;;",
        "1234567 89", "  \n  x", "ﬁ ligature", "a" * 23, "========", "----    ----", "\uffff y", "a\u00a0 b", "a\u00a0  b", "<|endoftext|> z", "q<|endoftext|>", "don't  we'll", "word " * 20000]
 
+THUE = "".join("xy"[bin(k).count("1") % 2] for k in range(1024))
+#: Two words that polynomial hashes modulo a power of two cannot tell apart.
+ALIKE = [THUE, THUE.translate(str.maketrans("xy", "yx"))]
+ODD += ALIKE
+
 
 @pytest.mark.parametrize("bits", [1, 3, 8, 11, 16, 17, 32])
 def test_packing_round_trip(bits):

@@ -48,13 +48,10 @@ def word_counts(df: DataFrame) -> DataFrame:
                 seg = tb.words(*tb.text_bytes(batch.column("norm")))
                 if not len(seg.starts):
                     continue
-                cls = np.asarray(batch.column("cls"))[seg.rows].astype(np.uint64)
-                key = tb.mix64(seg.hashes() + (cls + np.uint64(1)) * _STEP)
-                _, first, n = np.unique(key, return_index=True, return_counts=True)
-                yield pa.record_batch(
-                    [pa.array(cls[first].astype(np.int32)), pa.array([seg.text(k).decode() for k in first.tolist()]), pa.array(n)],
-                    names=["cls", "word", "n"],
-                )
+                codes, distinct = seg.distinct()
+                key, n = np.unique(np.asarray(batch.column("cls"))[seg.rows].astype(np.int64) * len(distinct) + codes, return_counts=True)
+                words = pa.array(distinct, pa.binary()).take(pa.array(key % len(distinct))).cast(pa.string())
+                yield pa.record_batch([pa.array((key // len(distinct)).astype(np.int32)), words, pa.array(n)], names=["cls", "word", "n"])
 
     return df.select("cls", "norm").mapInArrow(count, "cls int, word string, n long").groupBy("cls", "word").agg(F.sum("n").alias("n"))
 

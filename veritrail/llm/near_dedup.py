@@ -48,7 +48,7 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 def elements(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct (row << 44 | shingle hash) keys and how often each occurs."""
     seg = tb.words(data, offsets)
-    h, n = seg.hashes(), seg.per_row
+    h, n = tb.hashes(seg), seg.per_row
     count = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
     first = np.cumsum(n) - n
     at = tb.gather_ragged(np.arange(len(h)), first, count)

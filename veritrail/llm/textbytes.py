@@ -1,24 +1,23 @@
 """Vectorised work on the UTF-8 bytes of Arrow string columns.
 
-A batch of texts is one byte array plus offsets.  Cutting it into segments, hashing
-every segment and grouping equal ones are whole-array numpy operations, so the cost a
-byte does not depend on how the bytes are divided into rows.
+A batch of texts is one byte array plus offsets.  Cutting it into segments and grouping
+equal ones are whole-array operations, so the cost a byte does not depend on how the
+bytes are divided into rows.  Segments are told apart by their bytes, never by a hash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  used as pa.compute
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Bytes of text handled at once; the working arrays take about forty times as much.
-SLICE_BYTES = 2 << 20
-
-_powers: dict[str, np.ndarray] = {}
+SLICE_BYTES = 1 << 20
+#: Bytes that a worker's cache of segments may hold, and what a held segment takes beside its own bytes and values.
+CACHE_BYTES, _ENTRY_BYTES = 48 << 20, 150
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -30,16 +29,6 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers["up"]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
-
-
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES, max_rows: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of at most ``max_rows`` rows and ``max_bytes`` of text; a longer text is a run by itself."""
     lengths = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
@@ -62,23 +51,23 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Segments:
-    """Segments of a byte array: starts, ends and the row of each, with a 64-bit hash."""
+    """Segments of a byte array: starts, ends and the row of each; ``body`` has their bytes joined."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        self.data, self.offsets, self.starts, self.ends = data, offsets, starts, ends
+    def __init__(self, body: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        self.body, self.starts, self.ends = body, starts, ends
         first = np.searchsorted(starts, offsets)
         self.per_row = np.diff(first)
         self.rows = np.repeat(np.arange(len(offsets) - 1), self.per_row)
 
-    def hashes(self) -> np.ndarray:
-        up, down = _power_table(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=sums[1:])
-        own = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        return mix64(own ^ (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-    def text(self, k: int) -> bytes:
-        return self.data[self.starts[k] : self.ends[k]].tobytes()
+    def distinct(self) -> tuple[np.ndarray, list[bytes]]:
+        """For each segment the number of its distinct segment, and the distinct segments in order of appearance."""
+        if not len(self.starts):
+            return np.empty(0, np.int64), []
+        ends = np.zeros(len(self.starts) + 1, np.int64)
+        np.cumsum(self.ends - self.starts, out=ends[1:])
+        joined = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(self.body))])
+        coded = joined.dictionary_encode()
+        return np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> Segments:
@@ -92,7 +81,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Segments:
     both = both[inside[both + 1] & inside[both]]  # rows that touch without a space
     begins[both] = True
     stops[both] = True
-    return Segments(data, offsets, np.flatnonzero(begins), np.flatnonzero(stops))
+    return Segments(data[data != 32], offsets, np.flatnonzero(begins), np.flatnonzero(stops))
 
 
 def cut(data: np.ndarray, offsets: np.ndarray, before: np.ndarray) -> Segments:
@@ -104,44 +93,61 @@ def cut(data: np.ndarray, offsets: np.ndarray, before: np.ndarray) -> Segments:
 
 
 class SegmentCache:
-    """Rows of values by segment hash, made once for each distinct segment of a worker.
+    """Rows of values by segment, made once for each distinct segment that a worker holds.
 
     ``make`` gets the distinct new segments as bytes and returns an array with a row for
-    each.  When more than ``limit`` rows are held, all are forgotten and made on demand.
+    each.  When more than ``limit`` bytes are held, all are forgotten and made on demand;
+    ``extra`` tells how many bytes ``make`` keeps elsewhere.
     """
 
-    def __init__(self, make: Callable[[list[bytes]], np.ndarray], limit: int = 1_000_000):
-        self._make, self._limit = make, limit
-        self._at: dict[int, int] = {}
+    def __init__(self, make: Callable[[list[bytes]], np.ndarray], limit: int = CACHE_BYTES, extra: Callable[[], int] = lambda: 0):
+        self._make, self._limit, self._extra = make, limit, extra
+        self._at: dict[bytes, int] = {}
         self._pool: np.ndarray | None = None
+        self._bytes = 0
 
     def held(self) -> int:
         return len(self._at)
 
     def find(self, segments: Segments) -> tuple[np.ndarray, np.ndarray]:
         """For each segment the number of its distinct segment, and the row of values of each number."""
-        codes, unique = pd.factorize(segments.hashes())
-        if len(self._at) + len(unique) > self._limit and self._at:
-            self._at.clear()
+        codes, unique = segments.distinct()
+        if self._bytes + self._extra() > self._limit:
+            self._at, self._pool, self._bytes = {}, None, 0
         get = self._at.get
-        places = np.fromiter((get(h, -1) for h in unique.tolist()), np.int64, len(unique))
+        places = np.fromiter((get(s, -1) for s in unique), np.int64, len(unique))
         new = np.flatnonzero(places < 0)
-        if len(new):
-            first = np.empty(len(unique), np.int64)
-            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            made = self._make([segments.text(k) for k in first[new].tolist()])
+        if len(new) or self._pool is None:
+            fresh = [unique[k] for k in new.tolist()]
+            made = self._make(fresh)
             base = len(self._at)
             if self._pool is None or base + len(new) > len(self._pool):
-                grown = np.empty((max(1 << 16, 2 * (base + len(new))), *made.shape[1:]), made.dtype)
+                grown = np.empty((max(1 << 10, base + base // 4 + 2 * len(new)), *made.shape[1:]), made.dtype)
                 if base:
                     grown[:base] = self._pool[:base]
                 self._pool = grown
             self._pool[base : base + len(new)] = made
             places[new] = np.arange(base, base + len(new))
-            self._at.update(zip(unique[new].tolist(), range(base, base + len(new))))
+            self._at.update(zip(fresh, range(base, base + len(new))))
+            self._bytes += sum(map(len, fresh)) + len(fresh) * _ENTRY_BYTES + made.nbytes
         return codes, self._pool[places]
 
 
+def _digests(segments: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blake2b(s, digest_size=8).digest() for s in segments), "<u8").astype(np.uint64)
+
+
+_hashed = SegmentCache(_digests)
+
+
+def hashes(segments: Segments) -> np.ndarray:
+    """A 64-bit BLAKE2b digest of each segment, which every worker gives alike."""
+    if not len(segments.starts):
+        return np.empty(0, np.uint64)
+    codes, values = _hashed.find(segments)
+    return values[codes]
+
+
 def gather_ragged(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenate ``pool[s:s+n]`` for all pairs of ``starts`` and ``lengths``."""
     total = int(lengths.sum())

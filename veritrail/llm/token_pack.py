@@ -130,7 +130,7 @@ class PieceIds:
         self._encode = encode_pieces
         self._pool = np.empty(1 << 16, np.uint32)
         self._used = 0
-        self._cache = tb.SegmentCache(self._make)
+        self._cache = tb.SegmentCache(self._make, extra=lambda: 4 * self._used)
 
     def _make(self, new: list[bytes]) -> np.ndarray:
         if not self._cache.held():
