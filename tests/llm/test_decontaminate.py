@@ -25,9 +25,12 @@ def brute(docs, items):
     found = {}
     for i, t in docs:
         for j, b in items:
-            if len(b) < dc.LEAST_WORDS:
+            if len(b) < 5:
+                if t == b:
+                    found[i, j] = (len(b), 0)
                 continue
-            width, need = (dc.WINDOW, dc.WINDOW - dc.MISMATCHES) if len(b) >= dc.WINDOW else (len(b), len(b))
+            width = min(len(b), 13)
+            need = width - (0 if width < 7 else 1 if width < 13 else 2)
             for shift in range(-len(b) + width, len(t) - width + 1):
                 same = [t[k + shift] == b[k] if 0 <= k + shift < len(t) else None for k in range(len(b))]
                 for k in range(len(b) - width + 1):
@@ -40,13 +43,19 @@ def brute(docs, items):
 
 
 def test_leaks_equal_brute_force(spark):
-    items = [(k, text(n)) for k, n in enumerate([15, 20, 40, 13, 12, 7, 4, 60])]
+    items = [(k, text(n)) for k, n in enumerate([15, 20, 40, 13, 12, 7, 4, 60, 5, 6, 8, 9, 10, 11, 1])]
     docs = [(k, text(50)) for k in range(10)]
     for k, (_, b) in enumerate(items):
         hurt = list(b)
         for at in range(3, len(b), 6):
             hurt[at] = "zzz"
         docs += [(100 + k, text(9) + b + text(9)), (200 + k, hurt + text(5)), (300 + k, text(3) + b[: len(b) // 2]), (400 + k, text(30) + b[2:15] + text(4))]
+    for k, (_, b) in enumerate(items):
+        if 5 <= len(b) < 13:
+            for at in range(len(b)):
+                docs.append((1000 + 20 * k + at, text(6) + b[:at] + ["zzz"] + b[at + 1 :] + text(6)))
+            docs.append((1500 + k, text(6) + ["zzz"] + b[1:-1] + ["zzz"] + text(6)))
+    docs += [(700 + k, b) for k, (_, b) in enumerate(items)] + [(800, items[6][1] + items[14][1])]
     docs += [(500, text(20_000) + items[2][1]), (501, items[0][1] * 3)]
     lines = [(i, " ".join(t).capitalize() + ".", "x") for i, t in docs] + [(600, None, "x"), (601, "", "x"), (None, " ".join(items[0][1]), "x")]
     table = spark.createDataFrame(lines + lines[:12], "doc_id long, text string, words string")

@@ -6,10 +6,13 @@ alignment of item and document, which is then compared word by word: a window of
 ``WINDOW`` words with at most ``MISMATCHES`` substitutions is a leak.  The two seeds find
 every such window: whatever two of thirteen positions differ, one of them fits between.
 
+An item shorter than a window is its own window, with a mask of half its length and a
+tolerance in proportion: one substitution from seven words on, which leaves a half whole.
+
 Defined results: words are compared without letter case and punctuation; an item of fewer
-words than a window must occur whole, by a mask of its own length, and one of fewer than
-``LEAST_WORDS`` words is never sought; null or empty texts have no words; repeated rows
-of an id count once; rows with a null id take no part.
+than ``PASSAGE_WORDS`` words is no passage, and a document leaks it by having no other
+words; null or empty texts have no words; repeated rows of an id count once; rows with a
+null id take no part; no other column is read, whatever its name.
 """
 
 from __future__ import annotations
@@ -25,7 +28,20 @@ from .shared import BROADCAST_ROWS, stored
 #: Found by search as a pair that no two substitutions in thirteen words evade.
 SEEDS = ("11101011", "110100111")
 WINDOW, MISMATCHES = 13, 2
-LEAST_WORDS = 5
+PASSAGE_WORDS = 5
+
+
+def tolerance(n: Column | int) -> Column | int:
+    """The substitutions that a window of n words may have."""
+    return F.floor(n * MISMATCHES / WINDOW).cast("int") if isinstance(n, Column) else n * MISMATCHES // WINDOW
+
+
+def short_mask(n: int) -> str:
+    """The mask for items of n words, fewer than a window: whole without tolerance, else of half the length, with a gap from four words on."""
+    if not tolerance(n):
+        return "1" * n
+    half = n // 2
+    return "1" * half if half < 4 else "11" + "0" + "1" * (half - 3)
 
 
 def _with_words(rows: DataFrame, identity: str, text: str, named: str) -> DataFrame:
@@ -65,16 +81,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     are broadcast while they are at most ``BROADCAST_ROWS``; beyond that the join shuffles.
     """
     items = _with_words(benchmark, item_id, item_text, "item_id").dropna().distinct()
-    items = stored(items.withColumn("item_words", F.size("words")).filter(F.col("item_words") >= LEAST_WORDS), "leak-items")
-    short = sorted(r.item_words for r in items.filter(F.col("item_words") < WINDOW).select("item_words").distinct().collect())
+    items = stored(items.withColumn("item_words", F.size("words")).filter(F.col("item_words") > 0), "leak-items")
+    lengths = items.filter((F.col("item_words") >= PASSAGE_WORDS) & (F.col("item_words") < WINDOW)).select("item_words").distinct()
+    masks = {r.item_words: short_mask(r.item_words) for r in lengths.collect()}  # at most WINDOW - PASSAGE_WORDS
     seeds = _seeded(items.filter(F.col("item_words") >= WINDOW), list(SEEDS), "item_id")
-    for n in short:
-        seeds = seeds.unionByName(_seeded(items.filter(F.col("item_words") == n), ["1" * n], "item_id"))
+    for n, mask in sorted(masks.items()):
+        seeds = seeds.unionByName(_seeded(items.filter(F.col("item_words") == n), [mask], "item_id"))
     seeds = stored(seeds.select("seed", "item_id", F.col("at").alias("item_at")), "leak-seeds")
 
     words = _with_words(docs.filter(F.col(doc_id).isNotNull()), doc_id, text, "doc_id")
     small = seeds.count() <= BROADCAST_ROWS
-    met = _seeded(words, [*SEEDS, *("1" * n for n in short)], "doc_id").join(F.broadcast(seeds) if small else seeds, "seed")
+    met = _seeded(words, [*SEEDS, *sorted(set(masks.values()))], "doc_id").join(F.broadcast(seeds) if small else seeds, "seed")
     lines = stored(met.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "leak-hits")
 
     ids = lines.select("doc_id").distinct()
@@ -86,12 +103,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     same = F.transform(F.sequence(first, last), lambda j: (F.get("words", j + F.col("shift")) == F.get("item", j)).cast("int"))
     aligned = pairs.filter(last >= first).select("doc_id", "item_id", "shift", "item_words", first.alias("first"), same.alias("same"))
     width = F.least(F.lit(WINDOW), F.col("item_words"))
-    need = F.when(F.col("item_words") < WINDOW, F.col("item_words")).otherwise(WINDOW - MISMATCHES)
+    need = width - tolerance(width)
     sums = F.transform(F.sequence(F.lit(1), F.size("same") - width + 1), lambda s: F.aggregate(F.slice("same", s, width), F.lit(0), lambda a, x: a + x))
     judged = aligned.filter(F.size("same") >= width).withColumn("good", F.array_position(F.transform(sums, lambda x: x >= need), True))
     start = (F.col("shift") + F.col("first") + F.col("good") - 1).cast("long")
     matched = F.aggregate("same", F.lit(0), lambda a, x: a + x).cast("long")
     leaks = judged.filter("good > 0").select("doc_id", "item_id", F.col("item_words").cast("long").alias("item_words"), start.alias("start"), matched.alias("matched"))
+    tiny = items.filter(F.col("item_words") < PASSAGE_WORDS).select("item_id", "words", F.col("item_words").cast("long").alias("item_words"))
+    whole = words.filter(F.size("words").between(1, PASSAGE_WORDS - 1)).join(tiny, "words")
+    leaks = leaks.unionByName(whole.select("doc_id", "item_id", "item_words", F.lit(0).cast("long").alias("start"), F.col("item_words").alias("matched")))
     best = F.max(F.struct("matched", (-F.col("start")).alias("before"))).alias("best")
     return leaks.groupBy("doc_id", "item_id", "item_words").agg(best).select(
         "doc_id", "item_id", (-F.col("best.before")).alias("start"), F.col("best.matched").alias("matched"), "item_words"
