@@ -137,3 +137,17 @@ def test_every_gram_and_context_keeps_its_own_key(spark):
     for model, counted in models:
         for m in (4, 5):
             assert (len(model.levels[m - 1].keys), len(model.levels[m - 1].contexts)) == distinct(counted, m)
+
+
+def test_languages_of_held_out_rows_are_unknown(spark):
+    rows = [(k, "ta ki mo sur ta ki", "aa") for k in range(60)]
+    held = {r.doc_id for r in spark.range(400).withColumnRenamed("id", "doc_id").filter(toxicity.fold(F.col("doc_id")) % 4 == 2).collect()}
+    foreign = [(k, "汉字汉字 字汉", "zz") for k in range(100, 400) if k in held]
+    docs = spark.createDataFrame([*rows, *foreign], "doc_id long, text string, lang string")
+    fitted = language_id.fit(docs)
+    assert fitted.languages == ["aa"]
+    got = language_id.with_language(docs.withColumn("language", F.lit(1)), fitted).filter("lang = 'zz'").collect()
+    assert got and all(r.language.rejected for r in got)
+    only = docs.filter("lang = 'zz'")
+    assert language_id.fit(only) is None
+    assert {r.language.lang for r in language_id.with_language(only, language_id.fit(only)).collect()} == {"und"}

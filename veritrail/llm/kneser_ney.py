@@ -22,7 +22,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
@@ -224,6 +225,19 @@ def scorer(model: Model) -> DocumentScorer:
     return _held[model.uid]
 
 
+_broadcast: dict[str, Broadcast] = {}
+
+
+def shared_model(spark: SparkSession, model: Model) -> Broadcast:
+    """The broadcast of a model.  Executors drop the copy of the model before it, and fetch it again if it is still asked for."""
+    if model.uid not in _broadcast:
+        for held in _broadcast.values():
+            held.unpersist()
+        _broadcast.clear()
+        _broadcast[model.uid] = spark.sparkContext.broadcast(model)
+    return _broadcast[model.uid]
+
+
 def by_slices(column: pa.Array, score) -> np.ndarray:
     """Apply ``score`` (column of strings to rows of numbers) to slices of bounded bytes."""
     parts = [score(part.column(0)) for part in tb.slices(pa.record_batch([column], ["text"]), "text")]

@@ -6,14 +6,15 @@ that widens for short texts.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and is
 rejected; equal cross-entropies go to the language that sorts first; rows without a
-language teach nothing; with nothing learned every text is ``und``; a column named like
-an output is replaced.
+language teach nothing, and so do held-out rows, whose languages are not even known by
+name; with nothing learned every text is ``und``; a column named like an output is
+replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,21 +36,14 @@ _SHARES = 1 << 30
 
 @dataclass
 class LanguageModel:
-    model: kn.Model
+    model: kn.Model | None
     languages: list[str]
     mean: np.ndarray
     spread: np.ndarray  # of a character's surprise; a text of n characters varies by spread / sqrt(n) besides its floor
     floor: np.ndarray
 
-    def entropies(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy in nats a character by language, and the characters of each text."""
-        sums = kn.by_slices(column, lambda c: kn.scorer(self.model).sums(c)[0])
-        length = np.maximum(sums[:, -1], 1)
-        return -sums[:, :-1] / length[:, None], sums[:, -1]
-
-    def judge(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By text: number of the best language, its score and whether it is rejected."""
-        h, n = self.entropies(column)
+    def judge(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By text, from its cross-entropies and characters: number of the best language, its score and whether it is rejected."""
         best = h.argmin(1)
         own = h[np.arange(len(h)), best]
         gap = np.minimum((h - own[:, None]) * np.minimum(n, 200)[:, None], 700)
@@ -58,6 +52,13 @@ class LanguageModel:
         return best, np.where(n > 0, score, 0.0), (n == 0) | (own > self.mean[best] + REJECT_AT * width)
 
 
+def entropies(model: kn.Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Cross-entropy in nats a character by language, and the characters of each text."""
+    sums = kn.by_slices(column, lambda c: kn.scorer(model).sums(c)[0])
+    length = np.maximum(sums[:, -1], 1)
+    return -sums[:, :-1] / length[:, None], sums[:, -1]
+
+
 def fit(docs: DataFrame, order: int = 5, hash_bits: int = 64, calibration_rows: int = CALIBRATION_ROWS) -> LanguageModel | None:
     """Learn from ``docs`` (doc_id, text, lang), without ids whose crc32 mod 4 is 2.
 
@@ -67,7 +68,7 @@ def fit(docs: DataFrame, order: int = 5, hash_bits: int = 64, calibration_rows:
     spark = docs.sparkSession
     known = docs.select("doc_id", "lang", kn.normal_words(F.col("text"), WORD).alias("norm"))
     known = known.filter(F.col("lang").isNotNull() & (fold(F.col("doc_id")) % 4 != 2) & (F.col("norm") != ""))
-    rows = docs.filter(F.col("lang").isNotNull()).groupBy("lang").count().limit(kn.MAX_CLASSES + 1).collect()
+    rows = known.groupBy("lang").count().limit(kn.MAX_CLASSES + 1).collect()  # train() refuses more
     if not rows:
         return None
     languages = sorted(r["lang"] for r in rows)
@@ -77,11 +78,11 @@ def fit(docs: DataFrame, order: int = 5, hash_bits: int = 64, calibration_rows:
     counts = stored(kn.word_counts(known), "language-words")
     model = kn.train(counts, order, hash_bits, len(languages))
     fitted = LanguageModel(model, languages, *(np.zeros(len(languages)) for _ in range(3)))
-    held = spark.sparkContext.broadcast(fitted)
+    held = kn.shared_model(spark, model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, n = held.value.entropies(batch.column("norm"))
+            h, n = entropies(held.value, batch.column("norm"))
             cls = np.asarray(batch.column("cls"))
             yield pa.record_batch([batch.column("cls"), pa.array(h[np.arange(len(h)), cls]), pa.array(n)], names=["cls", "h", "n"])
 
@@ -106,12 +107,12 @@ def with_language(df: DataFrame, fitted: LanguageModel | None, text: str = "text
     kind = "struct<lang string, score double, rejected boolean>"
     if fitted is None:
         return df.withColumn(output, F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")).cast(kind))
-    held = df.sparkSession.sparkContext.broadcast(fitted)
+    held, light = kn.shared_model(df.sparkSession, fitted.model), replace(fitted, model=None)
 
     @F.arrow_udf(kind)
     def judge(column: pa.Array) -> pa.Array:
-        best, score, rejected = held.value.judge(column)
-        named = pa.array([*held.value.languages, "und"]).take(pa.array(np.where(score > 0, best, len(held.value.languages))))
+        best, score, rejected = light.judge(*entropies(held.value, column))
+        named = pa.array([*light.languages, "und"]).take(pa.array(np.where(score > 0, best, len(light.languages))))
         return pa.StructArray.from_arrays([named, pa.array(score), pa.array(rejected)], ["lang", "score", "rejected"])
 
     return df.withColumn(output, judge(kn.normal_words(F.when(F.col(text).rlike("\\p{L}"), F.col(text)), WORD)))

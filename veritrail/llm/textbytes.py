@@ -17,7 +17,7 @@ import pyarrow.compute  # noqa: F401  used as pa.compute
 #: Bytes of text handled at once; the working arrays take about forty times as much.
 SLICE_BYTES = 1 << 20
 #: Bytes that a worker's cache of segments may hold, and what a held segment takes beside its own bytes and values.
-CACHE_BYTES, _ENTRY_BYTES = 48 << 20, 150
+CACHE_BYTES, _ENTRY_BYTES = 24 << 20, 150
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

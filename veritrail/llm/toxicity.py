@@ -14,7 +14,7 @@ like the output is replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +34,15 @@ RIDGE = 3.0
 
 @dataclass
 class ToxicityModel:
-    model: kn.Model
+    model: kn.Model | None
     low: np.ndarray  # the range of each feature in calibration, to which others are clipped
     high: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
 
-    def score(self, column: pa.Array) -> np.ndarray:
-        x, words = features(kn.scorer(self.model), column)
-        z = np.c_[(np.clip(x, self.low, self.high) - self.mean) / self.scale, np.ones(len(column))]
+    def score(self, x: np.ndarray, words: np.ndarray) -> np.ndarray:
+        z = np.c_[(np.clip(x, self.low, self.high) - self.mean) / self.scale, np.ones(len(x))]
         return np.where(words > 0, 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30))), 0.0)
 
 
@@ -112,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = 5, shared: int = 3, has
     counts = stored(kn.word_counts(labelled(known.filter(~F.col("calibrates")))), "toxicity-words")
     model = kn.train(counts, order, hash_bits, 2, shared)
     sample = known.filter("calibrates").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
-    shared_model = docs.sparkSession.sparkContext.broadcast(model)
+    shared_model = kn.shared_model(docs.sparkSession, model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,10 +132,10 @@ def with_toxicity(df: DataFrame, fitted: ToxicityModel | None, text: str = "text
     """Add the probability that each whole text is toxic."""
     if fitted is None:
         return df.withColumn(output, F.lit(0.0))
-    held = df.sparkSession.sparkContext.broadcast(fitted)
+    held, light = kn.shared_model(df.sparkSession, fitted.model), replace(fitted, model=None)
 
     @F.arrow_udf("double")
     def judge(column: pa.Array) -> pa.Array:
-        return pa.array(kn.by_slices(column, lambda c: held.value.score(c)))
+        return pa.array(kn.by_slices(column, lambda c: light.score(*features(kn.scorer(held.value), c))))
 
     return df.withColumn(output, judge(kn.normal_words(F.col(text))))
