@@ -110,3 +110,58 @@ def test_components_equal_brute_force(spark):
         groups[c].add(n)
     assert all(min(g) == c for c, g in groups.items())
     assert len(groups[100]) == 31
+
+
+def test_words_are_told_apart_by_their_bytes():
+    thue = "".join("xy"[bin(k).count("1") % 2] for k in range(1024))
+    pair = [thue, thue.translate(str.maketrans("xy", "yx"))]
+    seg = tb.words(*tb.text_bytes(pa.array([" ".join(pair), pair[0], "", "a"])))
+    codes, distinct = seg.distinct()
+    assert codes.tolist() == [0, 1, 0, 2] and distinct == [pair[0].encode(), pair[1].encode(), b"a"]
+    assert len(set(tb.hashes(seg).tolist())) == 3
+    assert nd.similarity.func(pa.array(pair[:1]), pa.array(pair[1:])).to_pylist() == [0.0]
+
+
+def test_cache_forgets_but_stays_right():
+    made = []
+
+    def make(new):
+        made.append(len(new))
+        return np.array([[len(s)] for s in new])
+
+    cache = tb.SegmentCache(make, limit=2_000)
+    for turn in range(20):
+        words = [f"w{turn % 3}{'z' * k}" for k in range(30)]
+        codes, values = cache.find(tb.words(*tb.text_bytes(pa.array([" ".join(words * 2)]))))
+        assert values[codes][:, 0].tolist() == [len(w) for w in words * 2]
+    assert sum(made) > 90 and cache.held() <= 60
+
+
+def test_group_around_the_threshold_equals_brute_force(spark):
+    """Copies of one text whose similarities lie on both sides of the threshold, in buckets too large to be compared whole."""
+    base, other = text(160), text(160)
+    rows = [(k, changed(base, RNG.randint(1, 7))) for k in range(150)] + [(200 + k, changed(other, RNG.randint(2, 6))) for k in range(60)]
+    docs = spark.createDataFrame(RNG.sample(rows, len(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in nd.near_duplicate_classes(docs).collect()}
+    expected = brute_classes(rows)
+    missed = sum(got[i].class_id != c for i, c in expected.items())
+    assert all(expected[r.class_id] == expected[i] for i, r in got.items()) and missed <= 2
+    assert len(set(expected.values())) > 5
+    of = collections.Counter(r.class_id for r in got.values())
+    assert all(r.links >= of[r.class_id] - 1 for r in got.values())
+
+
+def test_recall_on_the_given_documents(spark):
+    """All pairs of texts with an id divisible by 20 as queries: at least 0.99 of those at the threshold share a class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.class_id for r in nd.near_duplicate_classes(docs).collect()}
+    bags = {i: bag(t or "") for i, t in texts.items()}
+    total = {i: sum(b.values()) for i, b in bags.items()}
+    links = caught = 0
+    for q in (i for i in texts if i % 20 == 0):
+        for i, b in bags.items():
+            if i != q and 0.8 * total[q] <= total[i] <= total[q] / 0.8 and jaccard(bags[q], b) >= nd.SIMILARITY:
+                links += 1
+                caught += got[q] == got[i]
+    assert links > 5 and caught >= 0.99 * links

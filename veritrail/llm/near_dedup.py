@@ -8,37 +8,48 @@ time up to which darts are thrown shrinks with a text's total weight, so all tex
 about as many.
 
 Bands of coordinates are joined by hash.  A text is first compared with the smallest text
-of all its bands only, one pair a text.  Once the confirmed links are
-components, texts of one band that are still in different components are compared too,
-so no link that the bands offer is lost; within a component nothing is left to find.
-Before that, shingles that no other such text has are counted: what is left of a text
-bounds its similarity to any other, and pairs beyond the bound are not formed.
+of all its bands only, one pair a text.  Once the confirmed links are components, buckets
+that still hold several components go through turns.  In a small one all pairs between
+components are compared; in a large one every text outside its largest component is
+compared with a few leaders of that component, which then leave the bucket.  After
+``TURNS`` turns, shingles that at most ``RARE`` of the remaining texts have are joined:
+texts that share one are compared, and for all others the weight of common shingles
+bounds the similarity, so texts out of reach of their bucket leave it.  Every step forms
+at most a constant number of pairs for each row, and at the end each pair that a bucket
+offers is in one component, was compared, or is ruled out by the bound.
 
 Defined results: copies are texts with equal words in order (letter case and punctuation
 aside), and null or wordless texts are copies of one another; a text shorter than a
-shingle is one shingle; an id that names several texts joins their classes, and repeated
-rows come back repeated; rows with a null id come back with a null class.
+shingle is one shingle; an id that names several texts comes back once for each, with
+the class of that text; repeated rows come back repeated; rows with a null id come back
+with a null class; of the other columns none is read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
 from .components import components
 from .kneser_ney import normal_words
-from .shared import stored
+from .shared import BROADCAST_ROWS, stored
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: 24 bands of 5: a pair at similarity 0.8 meets in a band with probability 0.99993.
 BANDS, BAND_ROWS = 24, 5
+#: Leaders of a bucket in one turn; buckets with at most PAIRS_A_ROW times as many pairs as rows are compared whole.
+LEADERS, PAIRS_A_ROW = 4, 4
+#: Turns with leaders before the rare shingles are joined, and again between two such joins; texts that may share a rare shingle.
+TURNS, RARE = 2, 8
 #: Texts sketched at once; each throws about a thousand darts, however short it is.
 SKETCH_ROWS = 256
 _KEY_BITS = np.uint64(44)
@@ -165,15 +176,15 @@ def similarity(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough.  The side that repeats, a, is joined last."""
-    right = pairs.join(texts.select(F.col("node").alias("b"), F.col("norm").alias("norm_b")), "b")
+    right = pairs.select("a", "b").join(texts.select(F.col("node").alias("b"), F.col("norm").alias("norm_b")), "b")
     full = right.join(texts.select(F.col("node").alias("a"), F.col("norm").alias("norm_a")), "a")
-    return full.filter(similarity("norm_a", "norm_b") >= threshold).select("a", "b").distinct()
+    return full.filter(similarity("norm_a", "norm_b") >= threshold).select("a", "b")
 
 
-def _lone_weight(texts: DataFrame) -> DataFrame:
-    """(node, lone): the weight of each text's shingles that no other of ``texts`` (node, norm) has."""
+def _shingles(texts: DataFrame) -> DataFrame:
+    """(node, element, w): the weighted shingles of texts (node, norm)."""
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tb.slices(whole, "norm"):
                 keys, counts = elements(*tb.text_bytes(batch.column("norm")))
@@ -181,48 +192,156 @@ def _lone_weight(texts: DataFrame) -> DataFrame:
                 element = (keys & ((np.uint64(1) << _KEY_BITS) - np.uint64(1))).astype(np.int64)
                 yield pa.record_batch([node, pa.array(element), pa.array(counts.astype(np.int64))], names=["node", "element", "w"])
 
-    rows = texts.select("node", "norm").mapInArrow(shingles, "node long, element long, w long")
-    single = rows.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"), F.min("w").alias("w")).filter("n = 1")
-    return single.groupBy("node").agg(F.sum("w").alias("lone"))
+    return texts.select("node", "norm").mapInArrow(work, "node binary, element long, w long")
+
+
+def _tallies(live: DataFrame) -> DataFrame:
+    """By bucket that holds several components: its rows and pairs between components, the largest component and leaders of it."""
+    rank = F.xxhash64("node", "bucket")
+    leaders = [F.min(F.when(F.pmod(rank, F.lit(LEADERS)) == k, F.struct(rank.alias("h"), F.col("node").alias("node")))).alias(f"l{k}") for k in range(LEADERS)]
+    parts = live.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), *leaders)
+    named = F.filter(F.array(*(F.col(f"l{k}.node") for k in range(LEADERS))), lambda x: x.isNotNull())
+    first = F.max_by(F.struct(F.col("component").alias("largest"), named.alias("leaders")), F.struct("n", "component")).alias("first")
+    whole = parts.groupBy("bucket").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("squares"), first)
+    torn = whole.withColumn("pairs", (F.col("rows") * F.col("rows") - F.col("squares")) / 2).filter("pairs > 0")
+    return torn.select("bucket", "rows", "pairs", "first.largest", "first.leaders")
+
+
+def _in_reach(x: str, y: str, threshold: float) -> Column:
+    """Whether two texts can be similar, by their weights and by the room that common shingles leave."""
+    near = F.least(f"weight_{x}", f"weight_{y}") >= threshold * F.greatest(f"weight_{x}", f"weight_{y}")
+    return near & (F.col(f"weight_{x}") <= F.col(f"room_{y}")) & (F.col(f"weight_{y}") <= F.col(f"room_{x}"))
+
+
+def _sided(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("bucket", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "weight", "room", "component")))
+
+
+def _new_pairs(candidates: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of candidates with sides x and y, each once, that are in reach and were not compared before."""
+    x, y = F.col("node_x"), F.col("node_y")
+    pairs = candidates.filter(_in_reach("x", "y", threshold)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+    return pairs.join(tried, ["a", "b"], "left_anti")
+
+
+def _bucket_pairs(live: DataFrame, tallies: DataFrame) -> DataFrame:
+    """Candidates of one turn: in small buckets all pairs between components, in large ones pairs with leaders."""
+    info = live.join(tallies, "bucket")
+    minor = info.filter("component <> largest")
+    all_of = _sided(live, "y").join(tallies.filter("small").select("bucket", "largest"), "bucket")
+    whole = _sided(minor.filter("small"), "x").join(all_of, "bucket")
+    whole = whole.filter((F.col("component_x") != F.col("component_y")) & ((F.col("component_y") == F.col("largest")) | (F.col("node_x") < F.col("node_y")))).drop("largest")
+    led = info.filter(~F.col("small") & (F.col("component") == F.col("largest")) & F.array_contains("leaders", F.col("node")))
+    led = _sided(minor.filter(~F.col("small")), "x").join(_sided(led, "y"), "bucket")
+    return whole.unionByName(led)
+
+
+def _rare_pairs(live: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs of ``live`` texts that share a rare shingle, and (node, room): the most weight that a similar text without one can have."""
+    nodes = live.select("node", "weight", "component").distinct()
+    rows = stored(_shingles(texts.join(nodes.select("node"), "node", "left_semi")), "dedup-shingles")
+    rare = rows.groupBy("element").count().filter(F.col("count") <= RARE)
+    held = stored(rows.join(rare, "element"), "dedup-rare")
+    own = held.groupBy("node").agg(F.sum("w").alias("rare"))
+    common = nodes.join(own, "node", "left").withColumn("common", F.col("weight") - F.coalesce("rare", F.lit(0)))
+    room = common.select("node", ((1 + 1 / threshold) * F.col("common") - F.col("weight") + 1e-6).alias("room"))
+    several = held.filter("count > 1").select("element", "node").join(nodes, "node").withColumn("room", F.lit(float("inf")))
+    several = several.withColumnRenamed("element", "bucket")
+    x, y = _sided(several, "x"), _sided(several, "y")
+    return x.join(y, "bucket").filter((F.col("component_x") != F.col("component_y")) & (F.col("node_x") < F.col("node_y"))), room
+
+
+def _relabelled(live: DataFrame, links: DataFrame) -> DataFrame:
+    """``live`` with components joined along new links (a, b) between its nodes.
+
+    One round joins all that a leader links.  What it leaves apart costs further pairs, no link.
+    """
+    label = live.select("node", "component").distinct()
+    a, b = (label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    ties = components(links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")), rounds=1)
+    new = ties.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return live.join(new, "component", "left").withColumn("component", F.coalesce("to", "component")).select(live.columns)
+
+
+def _reachable(live: DataFrame) -> DataFrame:
+    """Rows whose weight and room leave a text of another component in their bucket within reach."""
+    parts = live.groupBy("bucket", "component").agg(F.min("weight").alias("weight"), F.max("room").alias("room"))
+    lists = parts.groupBy("bucket").agg(
+        F.min(F.struct("weight", "component")).alias("w"), F.max(F.struct("room", "component")).alias("r"), F.min("component").alias("low"), F.max("component").alias("high")
+    ).filter("low < high")
+    # the best of the other components: the bucket's best, or the second best for rows of the best one's component
+    second = parts.join(lists, "bucket").groupBy("bucket").agg(
+        F.min(F.when(F.col("component") != F.col("w.component"), F.col("weight"))).alias("w2"), F.max(F.when(F.col("component") != F.col("r.component"), F.col("room"))).alias("r2")
+    )
+    best = lists.join(second, "bucket").select("bucket", "w", "r", "w2", "r2")
+    least = F.when(F.col("component") == F.col("w.component"), F.col("w2")).otherwise(F.col("w.weight"))
+    most = F.when(F.col("component") == F.col("r.component"), F.col("r2")).otherwise(F.col("r.room"))
+    return live.join(best, "bucket").filter((F.col("weight") <= most) & (F.col("room") >= least)).select(live.columns)
+
+
+def _links_beyond(meeting: DataFrame, first: DataFrame, star: DataFrame, texts: DataFrame, threshold: float) -> list[DataFrame]:
+    """Links (a, b) between texts of one bucket that the components ``first`` keep apart, found in turns."""
+    live = meeting.join(first, "node", "left").select("bucket", "node", "weight", F.lit(float("inf")).alias("room"), F.coalesce("component", "node").alias("component"))
+    live = stored(live, "dedup-placed")
+    links, tried, afford = [], star, PAIRS_A_ROW * live.count()
+    for turn in count(1):
+        tallies = stored(_tallies(live), "dedup-buckets-torn")
+        sizes = tallies.agg(F.count(F.lit(1)).alias("n"), F.sum("pairs").alias("pairs")).first()
+        if not sizes["n"]:
+            return links
+        small = F.lit(True) if sizes["pairs"] <= afford else F.col("pairs") <= PAIRS_A_ROW * F.col("rows")
+        tallies = tallies.withColumn("small", small)
+        if sizes["n"] <= BROADCAST_ROWS:
+            tallies = F.broadcast(tallies)
+        pairs = stored(_new_pairs(_bucket_pairs(live, tallies), tried, threshold), "dedup-pairs")
+        found = stored(_linked(pairs, texts, threshold), "dedup-more-links")
+        links.append(found)
+        if sizes["pairs"] <= afford:
+            return links
+        rest = live.join(tallies.filter("not small"), "bucket").filter(~F.array_contains("leaders", F.col("node")))
+        live, tried = rest.select(live.columns), tried.unionByName(pairs)
+        if not found.isEmpty():
+            live = _relabelled(stored(live, "dedup-live"), found)
+        live = stored(live, "dedup-live")
+        if turn % TURNS == 0 and not live.isEmpty():
+            candidates, room = _rare_pairs(live, texts, threshold)
+            pairs = stored(_new_pairs(candidates, tried, threshold), "dedup-rare-pairs")
+            found = stored(_linked(pairs, texts, threshold), "dedup-rare-links")
+            links.append(found)
+            tried = tried.unionByName(pairs)
+            live = live.drop("room").join(room, "node").select(live.columns)
+            if not found.isEmpty():
+                live = _relabelled(stored(live, "dedup-live"), found)
+            live = stored(_reachable(stored(live, "dedup-live")), "dedup-live")
+    return links
 
 
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """(doc_id, copy_of, class_id): for every row the smallest id with the same words and the smallest id of its class."""
+    """(doc_id, copy_of, class_id, links): for every row the smallest id with the same words, the smallest id of its
+    class, and the links between different texts of the class that were confirmed by comparison."""
     norm = normal_words(F.col(text))
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), norm.alias("norm"))
     known = source.filter(F.col("doc_id").isNotNull())
-    sketched = stored(known.select("doc_id", F.unhex(F.md5("norm")).alias("key"), sketch("norm").alias("s")).select("doc_id", "key", "s.weight", "s.bands"), "dedup-sketches")
-    nodes = stored(sketched.groupBy("key").agg(F.min("doc_id").alias("node"), F.any_value("weight").alias("weight"), F.any_value("bands").alias("bands")), "dedup-nodes")
+    key = F.unhex(F.md5("norm"))
+    sketched = stored(known.select("doc_id", key.alias("node"), sketch("norm").alias("s")).select("doc_id", "node", "s.weight", "s.bands"), "dedup-sketches")
+    nodes = stored(sketched.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("weight").alias("weight"), F.any_value("bands").alias("bands")), "dedup-nodes")
 
-    rows = nodes.select("node", "weight", F.explode("bands").alias("bucket"))
+    rows = nodes.select("node", "weight", "first", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "a")
     meeting = stored(rows.join(shared, "bucket"), "dedup-buckets")
     star = stored(meeting.filter("a < node").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "dedup-star")
-    ids = meeting.select("node").distinct()
-    texts = stored(known.join(ids, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "norm").distinct(), "dedup-texts")
+    ids = stored(meeting.select(F.col("first").alias("doc_id")).distinct(), "dedup-ids")
+    texts = known.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+    texts = stored(texts.select(key.alias("node"), "norm").dropDuplicates(["node"]), "dedup-texts")
     links = stored(_linked(star, texts, threshold), "dedup-links")
-    first = stored(components(links), "dedup-components")
-
-    placed = stored(
-        meeting.join(first, "node", "left").select("bucket", "node", "weight", F.coalesce("component", "node").alias("component")), "dedup-placed"
-    )
-    torn = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    apart = stored(placed.join(torn, "bucket"), "dedup-apart")
-    several = nodes.groupBy("node").count().filter("count > 1")
-    lone = _lone_weight(texts.join(apart.select("node").distinct(), "node", "left_semi")).join(several, "node", "left_anti")
-    apart = apart.join(stored(lone, "dedup-lone"), "node", "left").withColumn("common", F.col("weight") - F.coalesce("lone", F.lit(0)))
-    apart = apart.filter(F.col("common") >= threshold * F.col("weight"))
-    left, right = (apart.select("bucket", F.col("node").alias(x), F.col("weight").alias(f"w{x}"), F.col("common").alias(f"m{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-    most = F.least("ma", "mb")
-    close = most >= threshold * (F.col("wa") + F.col("wb") - most)
-    rest = left.join(right, "bucket").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close)
-    rest = rest.select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = stored(_linked(rest, texts, threshold), "dedup-more-links")
-    joined = first if more.isEmpty() else components(links.unionByName(more))
-
-    classes = nodes.select("key", "node").join(joined, "node", "left").select("key", F.col("node").alias("copy_of"), F.coalesce("component", "node").alias("class_id"))
-    own = sketched.select("doc_id", "key").join(classes, "key").select("doc_id", "copy_of", "class_id")
-    unknown = source.filter(F.col("doc_id").isNull()).select("doc_id", *(F.lit(None).cast("long").alias(c) for c in ("copy_of", "class_id")))
+    more = _links_beyond(meeting.select("bucket", "node", "weight"), stored(components(links), "dedup-components"), star, texts, threshold)
+    links = stored(reduce(DataFrame.unionByName, [links, *more]).distinct(), "dedup-all-links")
+    joined = stored(components(links), "dedup-components")
+
+    sizes = links.join(joined, F.col("a") == F.col("node")).groupBy("component").agg(F.count(F.lit(1)).alias("links"))
+    named = nodes.select("node", "first").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    heads = named.groupBy("component").agg(F.min("first").alias("class_id")).join(sizes, "component", "left")
+    classes = named.join(heads, "component").select("node", F.col("first").alias("copy_of"), "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    own = sketched.select("doc_id", "node").join(classes, "node").select("doc_id", "copy_of", "class_id", "links")
+    unknown = source.filter(F.col("doc_id").isNull()).select("doc_id", *(F.lit(None).cast("long").alias(c) for c in ("copy_of", "class_id", "links")))
     return own.unionByName(unknown)
-
-
