@@ -72,3 +72,11 @@ def test_corpus_source(spark, tmp_path):
     assert md.load_index(spark, index, described | {"dimension": 3}) is None
     with pytest.raises(ValueError):
         md.save_index(chunks, vectors.limit(1), index, described)
+
+
+@pytest.mark.parametrize("size, overlap", [(12, 11), (12, 10), (2, 1), (1, 0), (40, 39)])
+def test_overlaps_that_leave_no_room_still_end(size, overlap):
+    text = "# A\n\nSome words. More words here, and  spaces.\n\n" + "word " * 40 + "\n\n" + "x" * 90
+    rows = chunk_markdown(text, "a.md", size, overlap)
+    assert 0 < len(rows) < 2 * len(text)
+    assert all(row[3] for row in rows) and "".join(text.split())[-1] == rows[-1][3][-1]
