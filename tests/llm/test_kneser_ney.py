@@ -151,3 +151,20 @@ def test_languages_of_held_out_rows_are_unknown(spark):
     only = docs.filter("lang = 'zz'")
     assert language_id.fit(only) is None
     assert {r.language.lang for r in language_id.with_language(only, language_id.fit(only)).collect()} == {"und"}
+
+
+def test_rejection_is_chosen_on_texts_out_of_the_counts(spark):
+    rng = random.Random(3)
+    sounds = {"aa": ["ta", "ki", "mo", "sur"], "bb": ["zsch", "pfo", "ueb", "ing"], "cc": ["vle", "dra", "nyo", "hax"]}
+
+    def said(lang, words):
+        return " ".join("".join(rng.choice(sounds[lang]) for _ in range(rng.randint(1, 4))) for _ in range(words))
+
+    docs = spark.createDataFrame([(k, said(lang, 60), lang) for k, lang in enumerate(["aa", "bb"] * 300)], "doc_id long, text string, lang string")
+    fitted = language_id.fit(docs)
+    assert len(fitted.levels) == 3 and (fitted.kept > 0.97).all() and (fitted.caught > 0.97).all()
+    cases = [(lang, n, said(lang, n)) for lang in sounds for n in (8, 20, 200) for _ in range(40)]
+    got = language_id.with_language(spark.createDataFrame(cases, "truth string, n int, text string"), fitted).collect()
+    for n in (8, 20, 200):
+        assert np.mean([r.language.rejected for r in got if r.n == n and r.truth == "cc"]) > 0.9
+        assert np.mean([r.language.rejected for r in got if r.n == n and r.truth != "cc"]) < 0.05

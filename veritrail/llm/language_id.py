@@ -1,8 +1,10 @@
 """Language identification by interpolated Kneser-Ney character models, one a language.
 
 The language with the lowest cross-entropy a character wins.  A text is rejected if its
-cross-entropy is beyond what texts of its language have shown in training, by a margin
-that widens for short texts.
+cross-entropy is further from its language's mean than a level chosen on training texts
+that were kept out of the counts: between their own distances and those they have under
+the best of the other languages, which is how a text of no learned language looks.  The
+level is chosen for short runs of words and for whole texts and depends on the length.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and is
 rejected; equal cross-entropies go to the language that sorts first; rows without a
@@ -14,11 +16,11 @@ replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kneser_ney as kn
@@ -27,10 +29,16 @@ from .toxicity import fold
 
 #: Letters and combining marks make words; all else sets them apart.
 WORD = "\\p{L}\\p{M}"
-#: Standard deviations (of a text of its length) beyond the mean cross-entropy at which a text is rejected.
+#: Standard deviations (of a text of its length) beyond the mean at which a text is rejected if one language alone is learned.
 REJECT_AT = 12.0
-#: The training texts' cross-entropies are measured on about so many documents a language, chosen by hash.
-CALIBRATION_ROWS = 2_000
+#: The rejection is chosen on about so many training texts a language, by hash, and at most this share of them.
+CALIBRATION_ROWS, CALIBRATION_SHARE = 2_000, 0.1
+#: Languages with fewer texts than this are counted whole and calibrated on counted texts.
+LEAST_TEXTS = 100
+#: Words of the runs that stand for short texts; each calibration text gives one of each length, and itself.
+RUNS = (8, 20)
+#: Share of the texts of a learned language within its usual distance, and of the others' texts below theirs.
+USUAL, UNUSUAL = 0.999, 0.01
 _SHARES = 1 << 30
 
 
@@ -41,6 +49,17 @@ class LanguageModel:
     mean: np.ndarray
     spread: np.ndarray  # of a character's surprise; a text of n characters varies by spread / sqrt(n) besides its floor
     floor: np.ndarray
+    lengths: np.ndarray = field(default_factory=lambda: np.ones(1))  # in characters, ascending
+    levels: np.ndarray = field(default_factory=lambda: np.full(1, REJECT_AT))  # the distance at which texts of each length are rejected
+    kept: np.ndarray = field(default_factory=lambda: np.empty(0))  # share of calibration texts that each level keeps
+    caught: np.ndarray = field(default_factory=lambda: np.empty(0))  # and that it rejects where their language is left out
+
+    def distance(self, language: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How many standard deviations of a text of ``n`` characters a cross-entropy is beyond its language's mean."""
+        return (h - self.mean[language]) / np.sqrt(self.floor[language] ** 2 + self.spread[language] ** 2 / np.maximum(n, 1))
+
+    def level(self, n: np.ndarray) -> np.ndarray:
+        return np.interp(np.log(np.maximum(n, 1)), np.log(self.lengths), self.levels)
 
     def judge(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By text, from its cross-entropies and characters: number of the best language, its score and whether it is rejected."""
@@ -48,8 +67,43 @@ class LanguageModel:
         own = h[np.arange(len(h)), best]
         gap = np.minimum((h - own[:, None]) * np.minimum(n, 200)[:, None], 700)
         score = 1 / np.exp(-gap).sum(1)
-        width = np.sqrt(self.floor[best] ** 2 + self.spread[best] ** 2 / np.maximum(n, 1))
-        return best, np.where(n > 0, score, 0.0), (n == 0) | (own > self.mean[best] + REJECT_AT * width)
+        return best, np.where(n > 0, score, 0.0), (n == 0) | (self.distance(best, own, n) > self.level(n))
+
+    def calibrate(self, run: np.ndarray, cls: np.ndarray, own: np.ndarray, other: np.ndarray, other_h: np.ndarray, n: np.ndarray) -> None:
+        """Set means, spreads and levels from calibration texts.
+
+        ``run`` is 0 for whole texts and else the words of a run; ``own`` is the
+        cross-entropy under the text's language, ``other_h`` the lowest under another
+        language, ``other``, which is -1 where there is none.
+        """
+        for k in range(len(self.languages)):
+            mine = cls == k
+            whole, short = mine & (run == 0), mine & (run == min(RUNS))
+            if not mine.any():
+                self.mean[k] = np.inf  # nothing is known of it, so nothing is rejected
+                continue
+            middle = np.median(own[whole])
+            self.mean[k] = middle
+            self.floor[k] = np.median(np.abs(own[whole] - middle)) * 1.4826 + 0.02
+            self.spread[k] = np.median(np.abs(own[short] - middle) * np.sqrt(n[short])) * 1.4826 + 0.5
+        right = (other < 0) | (own <= other_h)  # a text that another language fits better may be labelled wrongly
+        lengths, levels, kept, caught = [], [], [], []
+        for r in (*RUNS, 0):
+            mine = right & (run == r) & np.isfinite(self.mean[cls])
+            if not mine.any() or (other[mine] < 0).any():
+                continue
+            far = np.isfinite(self.mean[other]) & mine
+            usual = self.distance(cls[mine], own[mine], n[mine])
+            unlearned = self.distance(other[far], other_h[far], n[far])
+            top, low = np.quantile(usual, USUAL), np.quantile(unlearned, UNUSUAL) if len(unlearned) else REJECT_AT
+            level = (top + low) / 2 if low > top else 1.1 * max(top, 1.0)
+            lengths.append(max(float(np.median(n[mine])), 1.0))
+            levels.append(level)
+            kept.append((usual <= level).mean())
+            caught.append((unlearned > level).mean() if len(unlearned) else np.nan)
+        if lengths:
+            by_length = np.argsort(lengths, kind="stable")
+            self.lengths, self.levels, self.kept, self.caught = (np.asarray(x)[by_length] for x in (lengths, levels, kept, caught))
 
 
 def entropies(model: kn.Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,20 +116,27 @@ def entropies(model: kn.Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray
 def fit(docs: DataFrame, order: int = 5, hash_bits: int = 64, calibration_rows: int = CALIBRATION_ROWS) -> LanguageModel | None:
     """Learn from ``docs`` (doc_id, text, lang), without ids whose crc32 mod 4 is 2.
 
-    All such texts are counted.  The rejection is calibrated on about
-    ``calibration_rows`` texts a language, chosen by hash of the id.
+    Texts chosen by hash of the id, about ``calibration_rows`` a language and at most
+    ``CALIBRATION_SHARE`` of them, choose the rejection and are not counted; all others
+    are.  A language with fewer than ``LEAST_TEXTS``, or whose ids leave nothing else, is
+    counted whole.
     """
     spark = docs.sparkSession
     known = docs.select("doc_id", "lang", kn.normal_words(F.col("text"), WORD).alias("norm"))
     known = known.filter(F.col("lang").isNotNull() & (fold(F.col("doc_id")) % 4 != 2) & (F.col("norm") != ""))
-    rows = known.groupBy("lang").count().limit(kn.MAX_CLASSES + 1).collect()  # train() refuses more
+    known = known.withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(_SHARES)))
+    drawn = F.count_if(F.col("draw") < int(CALIBRATION_SHARE * _SHARES))
+    rows = known.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), drawn.alias("drawn")).limit(kn.MAX_CLASSES + 1).collect()  # train() refuses more
     if not rows:
         return None
     languages = sorted(r["lang"] for r in rows)
-    shares = {r["lang"]: min(1.0, calibration_rows / r["count"]) for r in rows}
-    numbers = spark.createDataFrame([(k, v, int(shares[k] * _SHARES)) for v, k in enumerate(languages)], "lang string, cls int, below long")
+    apart = {r["lang"]: r["count"] >= LEAST_TEXTS and 0 < r["drawn"] <= r["count"] // 2 for r in rows}
+    shares = {r["lang"]: min(CALIBRATION_SHARE if apart[r["lang"]] else 1.0, calibration_rows / r["count"]) for r in rows}
+    numbers = [(k, v, int(shares[k] * _SHARES), apart[k]) for v, k in enumerate(languages)]
+    numbers = spark.createDataFrame(numbers, "lang string, cls int, below long, apart boolean")
     known = known.join(F.broadcast(numbers), "lang")  # at most MAX_CLASSES rows, else train() refuses
-    counts = stored(kn.word_counts(known), "language-words")
+    chosen = F.col("draw") < F.col("below")
+    counts = stored(kn.word_counts(known.filter(~(chosen & F.col("apart")))), "language-words")
     model = kn.train(counts, order, hash_bits, len(languages))
     fitted = LanguageModel(model, languages, *(np.zeros(len(languages)) for _ in range(3)))
     held = kn.shared_model(spark, model)
@@ -83,22 +144,24 @@ def fit(docs: DataFrame, order: int = 5, hash_bits: int = 64, calibration_rows:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, n = entropies(held.value, batch.column("norm"))
-            cls = np.asarray(batch.column("cls"))
-            yield pa.record_batch([batch.column("cls"), pa.array(h[np.arange(len(h)), cls]), pa.array(n)], names=["cls", "h", "n"])
-
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(_SHARES)) < F.col("below"))
-    rows = chosen.select("cls", "norm").mapInArrow(measure, "cls int, h double, n double").toArrow()
-    cls, h, n = (np.asarray(rows.column(c)) for c in ("cls", "h", "n"))
-    for k in range(len(languages)):
-        mine, length = h[cls == k], n[cls == k]
-        if len(mine):
-            middle = np.median(mine)
-            fitted.mean[k] = middle
-            scaled = np.abs(mine - middle) * np.sqrt(length)
-            fitted.spread[k] = np.median(scaled[length <= np.median(length)]) * 1.4826 + 0.5
-            fitted.floor[k] = np.median(np.abs(mine - middle)) * 1.4826 + 0.02
-        else:
-            fitted.mean[k] = np.inf
+            at, cls = np.arange(len(h)), np.asarray(batch.column("cls"))
+            own = h[at, cls]
+            h[at, cls] = np.inf
+            other = h.argmin(1) if len(h) else cls
+            other_h = h[at, other]
+            columns = [batch.column("run"), batch.column("cls"), pa.array(own), pa.array(np.where(np.isfinite(other_h), other, -1).astype(np.int32)), pa.array(other_h), pa.array(n)]
+            yield pa.record_batch(columns, names=["run", "cls", "own", "other", "other_h", "n"])
+
+    words = F.split("norm", " ")
+
+    def some(count: int) -> Column:
+        start = F.pmod(F.xxhash64("doc_id", F.lit(count)), F.greatest(F.size(words) - count + 1, F.lit(1))).cast("int")
+        return F.struct(F.lit(count).alias("run"), F.array_join(F.slice(words, start + 1, F.lit(count)), " ").alias("norm"))
+
+    parts = F.explode(F.array(F.struct(F.lit(0).alias("run"), F.col("norm")), *(some(r) for r in RUNS)))
+    parts = known.filter(chosen).select("cls", parts.alias("part")).select("cls", "part.*")
+    rows = parts.mapInArrow(measure, "run int, cls int, own double, other int, other_h double, n double").toArrow()
+    fitted.calibrate(*(np.asarray(rows.column(c)) for c in rows.column_names))
     return fitted
 
 
