@@ -165,6 +165,18 @@ def citation(source_file: Column, section: Column) -> Column:
     return F.concat_ws(" :: ", source_file, section)
 
 
+def embedding_text(section: Column, text: Column) -> Column:
+    """What is embedded of a chunk: its heading path, if any, above its text; null is empty."""
+    head, body = F.trim(F.coalesce(section, F.lit(""))), F.coalesce(text, F.lit(""))
+    return F.when(head == "", body).otherwise(F.concat(head, F.lit("\n"), body))
+
+
+def lexical_text(source_file: Column, section: Column, text: Column) -> Column:
+    """What lexical search reads of a chunk: file stem, with spaces for hyphens, and heading path above its text."""
+    stem = F.regexp_replace(F.substring_index(source_file, "/", -1), r"\.[^.]*$", "")
+    return embedding_text(F.concat_ws(" ", F.translate(stem, "-", " "), section), text)
+
+
 def chunk_id(source_file: Column, section: Column, ordinal: Column, text: Column) -> Column:
     """File stem, four-digit ordinal and twelve digits of a hash of what the chunk is."""
     stem = F.regexp_replace(F.substring_index(source_file, "/", -1), r"\.[^.]*$", "")
