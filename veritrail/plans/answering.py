@@ -1,7 +1,8 @@
 """Whole tables of questions to extractive answers with citations and an explicit outcome.
 
 A question is screened, retrieved for, and answered with the statements of its chunks
-that hold its rarest words, verbatim.  What a statement scores is the inverse document
+that hold its rarest words, verbatim.  Lexical search and word weights read a chunk with
+its file and heading; chunks in which screening finds an attack are never quoted.  What a statement scores is the inverse document
 frequency of its words that match the question's; matches are found by equi-joins, and
 only chunks that some question retrieved are split into statements.
 """
@@ -14,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dense, evidence, fusion, lexical, matching, security, selection
+from ..operators import classify, context, dense, evidence, fusion, lexical, matching, security, selection
 
 PEAK_FLOOR, LEAST_CHARS, FOCUSED, CLIP = 1.6, 12, 5, 320
-ANSWERED, NO_CONTEXT, BLOCKED_INPUT, BLOCKED_OUTPUT = "answered", "no_context", "blocked_injection", "blocked_output"
+ANSWERED, NO_CONTEXT, BLOCKED_INPUT, BLOCKED_OUTPUT, OFF_TOPIC = "answered", "no_context", "blocked_injection", "blocked_output", "off_topic"
 
 
 @dataclass(frozen=True)
@@ -26,11 +27,19 @@ class Replies:
 
     refusal: str = "I can't help with that. I only answer from my knowledge base, and I don't change my instructions on request."
     no_context: str = "I don't have that information in my knowledge base."
+    off_topic: str = "I can only answer questions about what my knowledge base covers."
+    smalltalk: str = "Hello. Ask me something about my knowledge base."
+
+
+def quotable(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The retrieved chunks in which screening finds no attack, not even a quoted one."""
+    held = chunks.join(hits.select("position").distinct(), "position", "left_semi")
+    return context.with_context(held).filter(~F.col("hostile")).select(chunks.columns)
 
 
 def statements(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """(position, n, statement, prompt, is_list_item) of the retrieved chunks that can be evidence."""
-    held = chunks.join(hits.select("position").distinct(), "position", "left_semi")
+    held = quotable(hits, chunks)
     split = evidence.with_evidence_units(held.select("position", "section", "text")).select("position", "section", F.posexplode("units").alias("n", "u"))
     said = split.select("position", "section", "n", F.col("u.text").alias("statement"), F.col("u.prompt").alias("prompt"), F.col("u.is_list_item").alias("is_list_item"))
     long_enough = (F.length("statement") >= LEAST_CHARS) | F.col("is_list_item") | F.col("statement").rlike("\\p{Nd}")
@@ -47,17 +56,35 @@ def scored_statements(hits: DataFrame, said: DataFrame, questions: DataFrame, we
     return met.groupBy("qid", "rank", "position", "n").agg(F.sum("idf").alias("score"), F.max("idf").alias("peak"))
 
 
-def answer(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, replies: Replies = Replies(), top_k: int = dense.TOP_K) -> DataFrame:
-    """(qid, outcome, response, sources, rule_ids) for questions (qid, message, vec).
+def answer(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, replies: Replies = Replies(), top_k: int = dense.TOP_K, profile: classify.Profile | None = None) -> DataFrame:
+    """(qid, classification, outcome, response, sources, rule_ids) for questions (qid, message, vec).
 
     ``chunks`` has (position, source_file, section, text).  Every question gets one row.
+    With a ``profile``, questions outside its subject are told so and not searched for;
+    without one every question that is no attack is in scope.
     """
-    judged = security.with_verdict(questions.select("qid", "message", "vec"), "message")
-    asked = judged.filter(~F.col("verdict.is_injection")).select("qid", "message", "vec")
-    found = fusion.retrieve(chunks, vectors, asked, top_k=top_k).persist()
+    return planned(questions, chunks, vectors, replies, top_k, profile)[0]
+
+
+def planned(
+    questions: DataFrame, chunks: DataFrame, vectors: DataFrame, replies: Replies = Replies(), top_k: int = dense.TOP_K, profile: classify.Profile | None = None
+) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of ``answer`` and the tables that they keep cached, for the caller to release."""
+    own = questions.select("qid", "message", "vec")
+    if profile is None:
+        judged = security.with_verdict(own, "message")
+        kind = F.when(F.col("verdict.is_injection"), classify.INJECTION).otherwise(classify.IN_SCOPE)
+        judged = judged.withColumns({"classification": kind, "smalltalk": F.lit(False)})
+    else:
+        judged = classify.classify(own, profile)
+        judged = judged.withColumns({"smalltalk": F.col("classification.smalltalk"), "classification": F.col("classification.class")})
+    judged = judged.persist()
+    asked = judged.filter(F.col("classification") == classify.IN_SCOPE).select("qid", "message", "vec")
+    indexed = chunks.withColumn("text", T.lexical_text(F.col("source_file"), F.col("section"), F.col("text")))
+    found = fusion.retrieve(indexed, vectors, asked, top_k=top_k).persist()
     hits = fusion.expand_siblings(found, chunks).persist()  # read four times below; a lost part is computed again
     said = statements(hits, chunks).persist()
-    scored = scored_statements(hits, said, asked, lexical.document_frequencies(chunks.select("position", "text")))
+    scored = scored_statements(hits, said, asked, lexical.document_frequencies(indexed.select("position", "text")))
     strong = selection.above_floor(scored.filter(F.col("peak") >= PEAK_FLOOR)).join(said.select("position", "n", "statement"), ["position", "n"]).persist()
     ordered = strong.select(
         "qid", F.struct(T.is_negative_evidence(F.col("statement")).alias("absent"), (-F.round("peak", 9)).alias("peak"), (-F.round("score", 9)).alias("score"), "position", "n").alias("rank"), "statement"
@@ -68,11 +95,13 @@ def answer(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, replies:
     cited = rendered.join(strong.select("qid", "statement", "position"), ["qid", "statement"]).join(files, "position")
     answers = cited.groupBy("qid", "text").agg(F.sort_array(F.collect_set("citation")).alias("sources"))
     broken = F.size(security.violations(F.col("text"))) > 0
-    blocked = F.col("verdict.is_injection")
-    outcome = F.when(blocked, BLOCKED_INPUT).when(F.col("text").isNull(), NO_CONTEXT).when(broken, BLOCKED_OUTPUT).otherwise(ANSWERED)
-    response = F.when(blocked, replies.refusal).otherwise(security.vetted(F.col("text"), replies.no_context))
+    blocked, outside = F.col("classification") == classify.INJECTION, F.col("classification") == classify.OFF_TOPIC
+    outcome = F.when(blocked, BLOCKED_INPUT).when(outside, OFF_TOPIC).when(F.col("text").isNull(), NO_CONTEXT).when(broken, BLOCKED_OUTPUT).otherwise(ANSWERED)
+    polite = F.when(F.col("smalltalk"), replies.smalltalk).otherwise(replies.off_topic)
+    response = F.when(blocked, replies.refusal).when(outside, polite).otherwise(security.vetted(F.col("text"), replies.no_context))
     none = F.array().cast("array<string>")
-    return judged.join(answers, "qid", "left").select(
-        "qid", outcome.alias("outcome"), response.alias("response"), F.when(blocked, none).otherwise(F.coalesce("sources", none)).alias("sources"),
+    rows = judged.join(answers, "qid", "left").select(
+        "qid", "classification", outcome.alias("outcome"), response.alias("response"), F.when(blocked | outside, none).otherwise(F.coalesce("sources", none)).alias("sources"),
         F.transform("verdict.matches", lambda m: m["rule_id"]).alias("rule_ids"),
     )
+    return rows, [strong, said, hits, found, judged]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.answering import answer
+from ..plans.answering import planned
 
 
 def answer_stream(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -15,6 +15,11 @@ def answer_stream(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, p
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        answer(batch, chunks, vectors).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        answers, cached = planned(batch, chunks, vectors)
+        try:
+            answers.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            for table in cached:
+                table.unpersist()
 
     return questions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
