@@ -9,10 +9,10 @@ from .shared import BROADCAST_ROWS, stored
 
 
 def _large_star(edges: DataFrame, small: bool) -> DataFrame:
-    """Each node's larger neighbours are tied to the smallest of its neighbourhood."""
+    """Each node's larger neighbours are tied to the smallest of its neighbourhood; an edge may come out repeatedly, at most one for each that goes in."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return both.filter("b > a").join(F.broadcast(least) if small else least, "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+    return both.filter("b > a").join(F.broadcast(least) if small else least, "a").select(F.col("m").alias("a"), "b").filter("a < b")
 
 
 def _small_star(edges: DataFrame, small: bool) -> DataFrame:

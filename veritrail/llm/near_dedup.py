@@ -240,27 +240,34 @@ def _rare_pairs(live: DataFrame, texts: DataFrame, threshold: float) -> tuple[Da
     """Pairs of ``live`` texts that share a rare shingle, and (node, room): the most weight that a similar text without one can have."""
     nodes = live.select("node", "weight", "component").distinct()
     rows = stored(_shingles(texts.join(nodes.select("node"), "node", "left_semi")), "dedup-shingles")
-    rare = rows.groupBy("element").count().filter(F.col("count") <= RARE)
-    held = stored(rows.join(rare, "element"), "dedup-rare")
-    own = held.groupBy("node").agg(F.sum("w").alias("rare"))
+    # a shingle of one text alone is known from the sums; only those of two to RARE texts are joined to their texts
+    holders = rows.groupBy("element").agg(F.count(F.lit(1)).alias("count"), F.min("node").alias("node"), F.sum("w").alias("w"))
+    holders = stored(holders.filter(F.col("count") <= RARE), "dedup-holders")
+    held = stored(rows.join(holders.filter("count > 1").select("element"), "element"), "dedup-rare")
+    own = held.select("node", "w").unionByName(holders.filter("count = 1").select("node", "w"))
+    own = own.groupBy("node").agg(F.sum("w").alias("rare"))
     common = nodes.join(own, "node", "left").withColumn("common", F.col("weight") - F.coalesce("rare", F.lit(0)))
     room = common.select("node", ((1 + 1 / threshold) * F.col("common") - F.col("weight") + 1e-6).alias("room"))
-    several = held.filter("count > 1").select("element", "node").join(nodes, "node").withColumn("room", F.lit(float("inf")))
+    several = held.select("element", "node").join(nodes, "node").withColumn("room", F.lit(float("inf")))
     several = several.withColumnRenamed("element", "bucket")
     x, y = _sided(several, "x"), _sided(several, "y")
     return x.join(y, "bucket").filter((F.col("component_x") != F.col("component_y")) & (F.col("node_x") < F.col("node_y"))), room
 
 
+def _joined(placed: DataFrame, label: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``placed`` with components joined along links (a, b) between nodes of ``label`` (node, component)."""
+    a, b = (label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    ties = components(links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")), rounds)
+    new = ties.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return placed.join(new, "component", "left").withColumn("component", F.coalesce("to", "component")).select(placed.columns)
+
+
 def _relabelled(live: DataFrame, links: DataFrame) -> DataFrame:
     """``live`` with components joined along new links (a, b) between its nodes.
 
     One round joins all that a leader links.  What it leaves apart costs further pairs, no link.
     """
-    label = live.select("node", "component").distinct()
-    a, b = (label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    ties = components(links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")), rounds=1)
-    new = ties.select(F.col("node").alias("component"), F.col("component").alias("to"))
-    return live.join(new, "component", "left").withColumn("component", F.coalesce("to", "component")).select(live.columns)
+    return _joined(live, live.select("node", "component").distinct(), links, rounds=1)
 
 
 def _reachable(live: DataFrame) -> DataFrame:
@@ -334,12 +341,15 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     texts = known.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
     texts = stored(texts.select(key.alias("node"), "norm").dropDuplicates(["node"]), "dedup-texts")
     links = stored(_linked(star, texts, threshold), "dedup-links")
-    more = _links_beyond(meeting.select("bucket", "node", "weight"), stored(components(links), "dedup-components"), star, texts, threshold)
-    links = stored(reduce(DataFrame.unionByName, [links, *more]).distinct(), "dedup-all-links")
     joined = stored(components(links), "dedup-components")
-
-    sizes = links.join(joined, F.col("a") == F.col("node")).groupBy("component").agg(F.count(F.lit(1)).alias("links"))
-    named = nodes.select("node", "first").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = _links_beyond(meeting.select("bucket", "node", "weight"), joined, star, texts, threshold)
+    named = stored(nodes.select("node", "first").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "dedup-named")
+    if more:  # their ends are components by now, so few edges are left to join
+        more = stored(reduce(DataFrame.unionByName, more).distinct(), "dedup-all-more")
+        links = links.unionByName(more)
+        named = stored(_joined(named, named, more), "dedup-named")
+
+    sizes = links.join(named.select(F.col("node").alias("a"), "component"), "a").groupBy("component").agg(F.count(F.lit(1)).alias("links"))
     heads = named.groupBy("component").agg(F.min("first").alias("class_id")).join(sizes, "component", "left")
     classes = named.join(heads, "component").select("node", F.col("first").alias("copy_of"), "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     own = sketched.select("doc_id", "node").join(classes, "node").select("doc_id", "copy_of", "class_id", "links")
