@@ -33,6 +33,8 @@ _START, _END = "\u0002", "\u0003"
 _STEP = np.uint64(0x9FB21C651E98DF25)
 #: Most classes of a model; each adds a column of values to every order.
 MAX_CLASSES = 256
+#: Words scored at once, which bounds the working arrays of a batch of new words.
+SCORED_WORDS = 4096
 
 
 def normal_words(text: Column, keep: str = "\\p{L}\\p{M}\\p{N}") -> Column:
@@ -124,6 +126,10 @@ class Model:
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
         """Natural log-likelihood of each word by class, and its characters with the end mark: shape (words, classes + 1)."""
+        parts = [self._some_scores(words[k : k + SCORED_WORDS]) for k in range(0, max(len(words), 1), SCORED_WORDS)]
+        return np.concatenate(parts) if len(parts) > 1 else parts[0]
+
+    def _some_scores(self, words: list[bytes]) -> np.ndarray:
         pad = _START * (self.order - 1)
         text = "".join(f"{pad}{w.decode()}{_END}" for w in words)
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
