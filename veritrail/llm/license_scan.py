@@ -71,7 +71,8 @@ def _pairs(words: str) -> Column:
 def _in_runs(near: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, license, unit, dice) of the runs of ``size`` bigrams of whole texts that resemble a template of at least ``need`` common bigrams."""
     texts = near.withColumn("words", F.split(normal_words(F.col("unit")), " ")).drop("u")
-    pairs = texts.withColumn("b", _pairs("words")).drop("words", "unit")
+    # written out, for a filter pushed below the projection would normalise the text anew for every bigram
+    pairs = stored(texts.withColumn("b", _pairs("words")).drop("words", "unit"), "licence-runs")
     marked = pairs.withColumn("at", F.filter(F.transform("b", lambda x, i: F.when(F.array_contains("t", x), i)), lambda i: i.isNotNull()))
     # the k-th common bigram and the need-th from it must fit into one run: its start is between the two bounds
     last = F.size("b") - F.col("size")
