@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import string
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, license_scan, near_dedup, piece_model, telephony, token_pack, toxicity, url_filter
+from . import chat_format, decontaminate, delta_lloyd, language_id, license_scan, merkle, near_dedup, piece_model, telephony, token_pack, toxicity, url_filter
 from .shared import stored
 
 
@@ -177,8 +178,27 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    text = F.when(tampered, F.translate("text", string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.col("text"))
+    other = merkle.row_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    proven = merkle.manifest(docs, other=other)
+    found = proven.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("path")), 256).alias("proof_sha256"), merkle.folded(F.col("other"), F.col("path")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = stored(delta_lloyd.kept_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")), "delta-kept")
+    books = delta_lloyd.train(kept)
+    if books is None:
+        return kept.select("vec_id", F.lit("").alias("code"), F.lit(0).cast("long").alias("error"), F.lit(0).cast("long").alias("label_error"), F.lit("").alias("codebooks_sha256"))
+    coded = delta_lloyd.with_label_error(stored(delta_lloyd.with_codes(kept, books).drop("vec"), "delta-codes"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(hashlib.sha256(books.text().encode()).hexdigest()).alias("codebooks_sha256"))
+
+
 def queries() -> dict:
-    named = (op1_toxicity, op2_near_dedup, op3_token_pack, op4_url_filter, op5_sentencepiece, op6_chat_format, op7_license_scan, op8_language, op9_telephony, op10_decontaminate)
+    named = (op1_toxicity, op2_near_dedup, op3_token_pack, op4_url_filter, op5_sentencepiece, op6_chat_format, op7_license_scan, op8_language, op9_telephony, op10_decontaminate, op12_merkle, op13_delta_lloyd)
     return {f.__name__: f for f in named}
 
 
