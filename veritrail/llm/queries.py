@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, delta_lloyd, language_id, license_scan, merkle, near_dedup, piece_model, telephony, token_pack, toxicity, url_filter
+from . import chat_format, decontaminate, delta_lloyd, language_id, license_scan, merkle, near_dedup, pii, piece_model, telephony, token_pack, toxicity, url_filter
 from .shared import stored
 
 
@@ -178,6 +178,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    whole = pii.span_text(F.array_sort(F.concat("base", "added")))
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), whole.alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
@@ -198,7 +209,7 @@ def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_toxicity, op2_near_dedup, op3_token_pack, op4_url_filter, op5_sentencepiece, op6_chat_format, op7_license_scan, op8_language, op9_telephony, op10_decontaminate, op12_merkle, op13_delta_lloyd)
+    named = (op1_toxicity, op2_near_dedup, op3_token_pack, op4_url_filter, op5_sentencepiece, op6_chat_format, op7_license_scan, op8_language, op9_telephony, op10_decontaminate, op11_pii, op12_merkle, op13_delta_lloyd)
     return {f.__name__: f for f in named}
 
 
