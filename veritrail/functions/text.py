@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,6 +28,11 @@ _WEAK = sorted({*STOPWORDS, *WEAK_WORDS})
 _WORD = "[a-z0-9]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, even where the optimizer moves or repeats the expression around it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _any_of(text: Column, patterns: tuple[str, ...]) -> Column:
     """Whether a case-insensitive pattern with Unicode classes is found; null is no match."""
     return F.coalesce(reduce(lambda a, p: a | text.rlike(f"(?iuU){p}"), patterns, F.lit(False)), F.lit(False))

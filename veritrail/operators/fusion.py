@@ -30,35 +30,61 @@ def reciprocal_ranks(dense_hits: DataFrame, lexical_hits: DataFrame, k: int = RR
     return ranked.select("qid", "position", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("lexical_score", F.lit(0.0)).alias("lexical_score"), fused.alias("fused"))
 
 
-def retrieve(
-    chunks: DataFrame,
-    vectors: DataFrame,
-    questions: DataFrame,
-    scope: DataFrame | None = None,
-    top_k: int = dense.TOP_K,
-    threshold: float = dense.THRESHOLD,
-    relax_threshold: bool = False,
-) -> DataFrame:
+def retrieve(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, top_k: int = dense.TOP_K, threshold: float = dense.THRESHOLD) -> DataFrame:
     """(qid, rank, position, source_file, similarity, lexical_score, fused): the best chunks of each question.
 
     ``chunks`` has (position, source_file, text), ``vectors`` (position, vec), ``questions``
-    (qid, message, vec).  ``scope`` (qid, source_file) limits what may be returned; the
-    whole store is then searched, lexical hits are limited to their pool before the scope.
+    (qid, message, vec).
     """
-    near = dense.search(vectors, questions.select("qid", "vec"), None if scope is not None else top_k)
-    passes = F.col("similarity") >= threshold
-    near = near.select("qid", "position", "similarity", (F.lit(True) if relax_threshold and scope is not None else passes).alias("admitted"))
-    words = lexical.decisive(lexical.top(lexical.search(chunks.select("position", "text"), questions.select("qid", "message")), POOL_FACTOR * top_k))
-    files = chunks.select("position", "source_file")
-    if scope is not None:
-        words = words.join(files, "position").join(scope, ["qid", "source_file"], "left_semi")
-    hits = reciprocal_ranks(near, words.select("qid", "position", "score")).join(files, "position")
-    if scope is not None:
-        hits = hits.join(scope, ["qid", "source_file"], "left_semi")
+    near = dense.search(vectors, questions.select("qid", "vec"), top_k)
+    near = near.select("qid", "position", "similarity", (F.col("similarity") >= threshold).alias("admitted"))
+    hits = reciprocal_ranks(near, decisive_words(chunks, questions, top_k)).join(chunks.select("position", "source_file"), "position")
+    return _ranked(hits, top_k)
+
+
+def decisive_words(chunks: DataFrame, questions: DataFrame, top_k: int) -> DataFrame:
+    """(qid, position, score) of the lexical pool's decisive hits."""
+    words = lexical.search(chunks.select("position", "text"), questions.select("qid", "message"))
+    return lexical.decisive(lexical.top(words, POOL_FACTOR * top_k)).select("qid", "position", "score")
+
+
+def _ranked(hits: DataFrame, top_k: int) -> DataFrame:
     best = lexical.top(hits, top_k, "fused").withColumn("rank", F.col("rank") - 1)
     return best.select("qid", "rank", "position", "source_file", "similarity", "lexical_score", "fused")
 
 
+def retrieve_scoped(
+    chunks: DataFrame, vectors: DataFrame, questions: DataFrame, top_k: int = dense.TOP_K, threshold: float = dense.THRESHOLD, relax_threshold: bool = False, k: int = RRF_K
+) -> DataFrame:
+    """As ``retrieve``, for questions that may only be answered by chunks that share one of their ``keys``.
+
+    ``chunks`` and ``questions`` have ``keys``; a question without any finds nothing.  The
+    scope comes before the cut, and after the lexical pool is cut.  Ranks still count the
+    whole store, as an unscoped search would: the few chunks that can be among the best are
+    found under a mask, and what comes before them is then counted, so no pair of
+    question and chunk is written out.  ``relax_threshold`` admits any chunk in scope.
+    """
+    asked = questions.filter(F.size("keys") > 0).select("qid", "message", "vec", "keys").persist()
+    least = None if relax_threshold else threshold
+    keyed = vectors.join(chunks.select("position", "keys"), "position")
+    near = dense.search(keyed, asked.select("qid", "vec", "keys"), top_k, least, scoped=True).select("qid", "position", "similarity")
+    words = decisive_words(chunks, asked, top_k).join(chunks.select("position", "keys"), "position").join(asked.select("qid", F.col("keys").alias("own")), "qid")
+    words = words.filter(F.arrays_overlap("keys", "own")).select("qid", "position", F.col("score").alias("lexical_score")).persist()
+    found = near.unionByName(dense.similarities(vectors, asked, words)).groupBy("qid", "position").agg(F.max("similarity").alias("similarity"))
+    both = found.join(words, ["qid", "position"], "full").persist()
+    above = dense.counted_above(vectors, asked, both, least)
+    order = Window.partitionBy("qid").orderBy(F.col("similarity").isNull(), F.desc(F.round("similarity", 9)), "position")
+    # lexical hits below the threshold are admitted too, and count for those after them
+    under = F.lit(0) if relax_threshold else F.coalesce(F.sum(F.when(F.col("similarity") < threshold, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lexical_rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("lexical_score").isNull(), F.desc(F.round("lexical_score", 9)), "position"))
+    ranked = both.withColumns({"_under": under, "_lexical": lexical_rank}).join(above, ["qid", "position"], "left")
+    dense_share = F.when(F.col("similarity").isNotNull(), 1 / (k + 1 + F.col("above") + F.col("_under"))).otherwise(0.0)
+    lexical_share = F.when(F.col("lexical_score").isNotNull(), 1 / (k + F.col("_lexical"))).otherwise(0.0)
+    zero = F.lit(0.0)
+    hits = ranked.select("qid", "position", F.coalesce("similarity", zero).alias("similarity"), F.coalesce("lexical_score", zero).alias("lexical_score"), (dense_share + lexical_share).alias("fused"))
+    return _ranked(hits.join(chunks.select("position", "source_file"), "position"), top_k)
+
+
 def best_document_scores(hits: DataFrame) -> DataFrame:
     return hits.groupBy("qid", "source_file").agg(F.max("fused").alias("doc_score"))
 

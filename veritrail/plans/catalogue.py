@@ -342,6 +342,45 @@ def index_summary(spark, sf_dir):
 )
 def dense_scoped(spark, sf_dir):
     """Scoped search keeps all that pass, however many."""
-    found = dense.search(vectors(spark, sf_dir), query_vectors(spark, sf_dir), None, 0.0)
-    files = chunks(spark, sf_dir).filter(F.col("source_file").isin("src1", "src2")).select("position")
-    return found.join(files, "position", "left_semi").select("qid", "position", F.round("similarity", 6).alias("similarity"))
+    keyed = vectors(spark, sf_dir).join(chunks(spark, sf_dir).select("position", F.array("source_file").alias("keys")), "position")
+    asked = query_vectors(spark, sf_dir).withColumn("keys", F.array(F.lit("src1"), F.lit("src2")))
+    found = dense.search(keyed, asked, None, 0.0, scoped=True)
+    return found.select("qid", "position", F.round("similarity", 6).alias("similarity"))
+
+
+#: A question searches the sources whose number leaves its own remainder, by five.
+SCOPED_SQL = f"""{STATS_SQL.replace(TOKENS_SQL, HYBRID_TOKENS)},
+asked as materialized (select distinct item_id as qid, unnest({T.sql_content_terms('text')}) as term from benchmark where item_id * 20 in (select vec_id from embeddings)),
+pool as (select qid, position, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score, count(*) as matched_terms, max(idf) as max_idf
+  from postings join weights using (term) join asked using (term), stats group by qid, position
+  qualify row_number() over (partition by qid order by round(score, 9) desc, position) <= 36),
+lexical as (select qid, position, score from pool join documents on position = doc_id where (matched_terms >= 2 or max_idf >= 2.0) and doc_id % 5 = qid % 5),
+near as (select q.vec_id // 20 as qid, v.vec_id as position, list_dot_product(q.embedding::double[], v.embedding::double[]) as similarity from embeddings q, embeddings v
+  where q.vec_id % 20 = 0 and q.vec_id // 20 in (select item_id from benchmark) and v.vec_id in (select doc_id from documents)),
+joined as (select qid, position, similarity, score from near left join lexical using (qid, position) where similarity >= least or score is not null),
+ranked as (select *, row_number() over (partition by qid order by round(similarity, 9) desc, position) as dr, row_number() over (partition by qid order by score is null, round(score, 9) desc, position) as lr from joined),
+hits as materialized (select qid, position, similarity, coalesce(score, 0) as lexical_score, 1 / (60 + dr) + case when score is null then 0 else 1 / (60 + lr) end as fused from ranked where position % 5 = qid % 5
+  qualify row_number() over (partition by qid order by round(fused, 9) desc, position) <= 12)
+select qid, position, round(similarity, 6) as similarity, round(lexical_score, 6) as lexical_score, round(fused, 9) as fused from hits"""
+
+
+def scoped_inputs(spark, sf_dir):
+    own, near, asked = hybrid_inputs(spark, sf_dir)
+    fifth = lambda c: F.array(F.pmod(c, F.lit(5)).cast("string"))
+    return own.withColumn("keys", fifth(F.col("position"))), near, asked.withColumn("keys", fifth(F.col("qid")))
+
+
+def _rounded(hits):
+    return hits.select("qid", "position", F.round("similarity", 6).alias("similarity"), F.round("lexical_score", 6).alias("lexical_score"), F.round("fused", 9).alias("fused"))
+
+
+@query("with " + SCOPED_SQL.replace("least", str(dense.THRESHOLD)))
+def scoped_topk(spark, sf_dir):
+    """The best documents of each question within its scope."""
+    return _rounded(fusion.retrieve_scoped(*scoped_inputs(spark, sf_dir)))
+
+
+@query("with " + SCOPED_SQL.replace("least", "-2"))
+def relaxed_topk(spark, sf_dir):
+    """The same without a threshold."""
+    return _rounded(fusion.retrieve_scoped(*scoped_inputs(spark, sf_dir), relax_threshold=True))
