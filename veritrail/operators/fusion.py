@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
 from . import dense, lexical
 
 RRF_K, POOL_FACTOR = 60, 3
@@ -64,14 +65,14 @@ def retrieve_scoped(
     found under a mask, and what comes before them is then counted, so no pair of
     question and chunk is written out.  ``relax_threshold`` admits any chunk in scope.
     """
-    asked = questions.filter(F.size("keys") > 0).select("qid", "message", "vec", "keys").persist()
+    asked = stored(questions.filter(F.size("keys") > 0).select("qid", "message", "vec", "keys"), "scoped-questions")
     least = None if relax_threshold else threshold
     keyed = vectors.join(chunks.select("position", "keys"), "position")
     near = dense.search(keyed, asked.select("qid", "vec", "keys"), top_k, least, scoped=True).select("qid", "position", "similarity")
     words = decisive_words(chunks, asked, top_k).join(chunks.select("position", "keys"), "position").join(asked.select("qid", F.col("keys").alias("own")), "qid")
-    words = words.filter(F.arrays_overlap("keys", "own")).select("qid", "position", F.col("score").alias("lexical_score")).persist()
+    words = stored(words.filter(F.arrays_overlap("keys", "own")).select("qid", "position", F.col("score").alias("lexical_score")), "scoped-words")
     found = near.unionByName(dense.similarities(vectors, asked, words)).groupBy("qid", "position").agg(F.max("similarity").alias("similarity"))
-    both = found.join(words, ["qid", "position"], "full").persist()
+    both = stored(found.join(words, ["qid", "position"], "full"), "scoped-hits")
     above = dense.counted_above(vectors, asked, both, least)
     order = Window.partitionBy("qid").orderBy(F.col("similarity").isNull(), F.desc(F.round("similarity", 9)), "position")
     # lexical hits below the threshold are admitted too, and count for those after them
