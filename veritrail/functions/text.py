@@ -134,6 +134,11 @@ def matching_terms(term: Column, candidates: Column) -> Column:
     return F.filter(candidates, lambda c: same_term(term, c))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def normalise_key(text: Column) -> Column:
     return F.array_join(words(text), " ")
 

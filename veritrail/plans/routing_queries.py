@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import routing_values as V
 from ..functions import text as T
-from ..operators import profile, routing
-from .catalogue import query, table
+from ..operators import dense, embedder, gates, lexical, profile, routing
+from ..sources.stored import stored
+from . import evaluation
+from .catalogue import _sql_canonical, query, table
 
 #: The invented subject of the written questions.
 SUBJECT = ("noor", "salim")
@@ -247,3 +249,180 @@ def question_scope(spark, sf_dir):
     subjects = profile.with_subject(asked_messages(spark, sf_dir), profile.file_profile(corpus_files(spark, sf_dir)), SUBJECT)
     keys = subjects.select("qid", "routing.intent", F.coalesce("project", F.lit("")).alias("project"), profile.allowed_keys().alias("allowed"), profile.contributing_keys().alias("owners"), profile.scope_keys().alias("scope"))
     return keys.select("qid", "intent", "project", F.array_join("allowed", ",").alias("allowed"), F.array_join("owners", ",").alias("owners"), F.col("scope").isNotNull().alias("scoped"))
+
+
+# -- gates --------------------------------------------------------------------------------------
+
+#: Blocks of a question: so many documents, by its id.
+BLOCKS = 6
+
+
+def corpus_vocabulary(spark, sf_dir) -> DataFrame:
+    files = corpus_files(spark, sf_dir).select("doc_id", "source_file")
+    return lexical.vocabulary(files.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
+
+
+def _pairs_sql(left: str, right: str) -> str:
+    """Matching pairs (term, token) of two one-column queries, by beginnings."""
+    cut = "range(greatest(length({0}) - 3, 4), length({0}) + 1)"
+    return (
+        f"l as (select distinct term, {_sql_canonical('term')} as form from ({left})), r as (select distinct token, {_sql_canonical('token')} as form from ({right})), "
+        f"lb as (select term, unnest(list_transform({cut.format('term')}, lambda n: term[1:n])) as b from l where length(term) >= 4), rb as (select token, unnest(list_transform({cut.format('token')}, lambda n: token[1:n])) as b from r where length(token) >= 4), "
+        "pairs as materialized (select term, token from l join r using (form) union select term, token from lb join r on b = token union select term, token from rb join l on b = term)"
+    )
+
+
+_CONCEPTS = f"list_filter({T.sql_content_terms('message')}, lambda x: x not in ({', '.join(_text(s) for s in SUBJECT)}))"
+SUPPORT_SQL = f"""{SUBJECTS_SQL}, wanted as materialized (select qid, owners[1] as owner, allowed, {_CONCEPTS} as concepts from asked join keyed_subjects using (qid)),
+terms as materialized (select distinct qid, owner, unnest(concepts) as term from wanted),
+held as materialized (select distinct source_file, token from (select f.source_file, unnest({T.sql_tokens('d.text')}) as token from files f join documents d using (doc_id))),
+{_pairs_sql('select term from terms', 'select token from held')},
+file_keys as materialized (select source_file, 'file:' || source_file as key from profile union all select source_file, coalesce(domain, 'faq') from profile left join kinds using (category)),
+key_words as materialized (select distinct key, token from held join file_keys using (source_file)),
+route_words as (select distinct qid, unnest(list_concat(coalesce(vocabulary, []), [])) as token from decided left join recognised using (qid) where intent <> 'unknown'),
+known as (select distinct qid from terms join pairs using (term)),
+inside as (select distinct qid from terms join pairs using (term) join key_words k on k.key = owner and k.token = pairs.token),
+routed as (select distinct t.qid from terms t join route_words w using (qid) where {_sql_canonical('t.term')} = {_sql_canonical('w.token')} or (length(t.term) >= 4 and length(w.token) >= 4 and abs(length(t.term) - length(w.token)) <= 3 and (starts_with(t.term, w.token) or starts_with(w.token, t.term)))),
+support as materialized (select qid, len(concepts) = 0 or qid in (select qid from known) or qid in (select qid from routed) as attested,
+  len(concepts) > 0 and case when owner in (select key from key_words) then qid in (select qid from inside) else qid in (select qid from known) end as lexical_support,
+  list_has_any(allowed, (select list(distinct key) from file_keys)) as documents, coalesce(owner in (select key from file_keys), false) as owners from wanted)"""
+
+
+def supported(spark, sf_dir) -> DataFrame:
+    """Routed questions with what the corpus knows of their words."""
+    files = stored(profile.file_profile(corpus_files(spark, sf_dir)), "profile")
+    routed = stored(profile.with_subject(asked_messages(spark, sf_dir), files, SUBJECT), "routed")
+    return stored(gates.with_support(routed, corpus_vocabulary(spark, sf_dir), files, SUBJECT), "supported")
+
+
+@query(f"with {SUPPORT_SQL} select qid, attested, lexical_support, documents, owners from support")
+def question_support(spark, sf_dir):
+    """Whether the corpus attests each question's concepts, whether retrieval can reach its files by words, and whether there are any."""
+    return supported(spark, sf_dir).select("qid", "attested", "lexical_support", "documents", "owners")
+
+
+def asked_blocks(spark, sf_dir) -> DataFrame:
+    """Six documents for each question, under headings of which some name a domain; every seventeenth states an absence, every nineteenth is hostile."""
+    docs = table(spark, sf_dir, "documents")
+    n = docs.count()
+    at = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda j: F.pmod(F.col("qid") * 7 + j * 13, F.lit(n)))
+    asked = asked_messages(spark, sf_dir).select("qid", F.explode(F.array_distinct(at)).alias("position"))
+    said = F.when(F.col("doc_id") % 17 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" No award is recorded."))).otherwise(F.coalesce("text", F.lit("")))
+    section = F.get(F.array(*(F.lit(s) for s in SECTIONS)), F.pmod("doc_id", F.lit(len(SECTIONS))).cast("int"))
+    chunks = corpus_files(spark, sf_dir).select("doc_id", "source_file").join(docs.select("doc_id", "text"), "doc_id")
+    chunks = chunks.select(F.col("doc_id").alias("position"), "source_file", section.alias("section"), said.alias("text"), (F.col("doc_id") % 19 == 0).alias("hostile"))
+    keyed = profile.with_keys(chunks, profile.file_profile(corpus_files(spark, sf_dir)))
+    described = routing.with_heading_domain(keyed, "section").withColumn("absent", T.is_negative_evidence(F.col("text")))
+    return asked.join(described, "position")
+
+
+SECTIONS = ("Questions > Projects", "Questions > Skills and tools", "Any", "Questions > Goals", "Questions > Fun")
+BLOCKS_SQL = f"""{SUPPORT_SQL}, placed as (select distinct qid, (qid * 7 + j * 13) % n + case when (qid * 7 + j * 13) % n < 0 then n else 0 end as position from asked, range({BLOCKS}) s(j), (select count(*) as n from documents)),
+chunks as materialized (select f.doc_id as position, f.source_file, p.category, coalesce(k.domain, 'faq') as domain, ({_list(SECTIONS)})[f.doc_id % {len(SECTIONS)} + 1] as section, f.doc_id % 19 = 0 as hostile,
+  f.text || case when f.doc_id % 17 = 0 then ' No award is recorded.' else '' end as text from files f join profile p using (source_file) left join kinds k using (category)),
+{_table('headings', 'section, heading_domain', [(_text(s), _text(d)) for s, d in zip(SECTIONS, ('projects', 'skills', 'unknown', 'goals', 'interests'))])},
+eligible as materialized (select qid, position, source_file, category, domain, section, heading_domain, text from placed join chunks using (position) join headings using (section) join keyed_subjects using (qid)
+  where not hostile and list_has_any([domain, 'file:' || source_file], allowed) and not (category = 'faq' and heading_domain <> 'unknown' and not list_contains(domains, heading_domain)))"""
+
+
+@query(f"with {BLOCKS_SQL} select qid, position from eligible")
+def eligible_blocks(spark, sf_dir):
+    """Blocks that may speak to each question."""
+    return gates.eligible(stored(asked_blocks(spark, sf_dir), "blocks"), supported(spark, sf_dir)).select("qid", "position")
+
+
+ON_TOPIC_SQL = f"""{BLOCKS_SQL},
+framed as materialized (select said.qid, {FRAMING_SQL.replace('and intent in', 'and k.intent in')} as framing, k.intent in ({', '.join(_text(i) for i in V.WHOLE_DOCUMENT)}) and list_has_any(all_words, {_list(V.LIST_CUES)}) as listing from said join keyed_subjects k using (qid)),
+open_terms as materialized (select distinct t.qid, term from terms t join framed f on f.qid = t.qid where not list_contains(framing, term)),
+block_words as materialized (select distinct position, unnest({T.sql_content_terms("section || ' ' || text")}) as token from (select distinct position, section, text from eligible)),
+meets as (select distinct e.qid, e.position from eligible e join block_words b using (position) join open_terms o on o.qid = e.qid where {_sql_canonical('o.term')} = {_sql_canonical('b.token')}
+  or (length(o.term) >= 4 and length(b.token) >= 4 and abs(length(o.term) - length(b.token)) <= 3 and (starts_with(o.term, b.token) or starts_with(b.token, o.term)))),
+accounted as (select qid, not exists (select 1 from open_terms o where o.qid = d.qid and not exists (select 1 from route_words w where w.qid = o.qid and ({_sql_canonical('o.term')} = {_sql_canonical('w.token')}
+  or (length(o.term) >= 4 and length(w.token) >= 4 and abs(length(o.term) - length(w.token)) <= 3 and (starts_with(o.term, w.token) or starts_with(w.token, o.term))))))
+  and len(coalesce(terms, [])) > 0 and intent <> 'unknown' as all_routed from decided d left join deciding using (qid)),
+judged as (select e.*, (qid, position) in (select (qid, position) from meets) or (regexp_matches(text, 'No award is recorded') and not listing) as topical, all_routed and s.owners as all_routed, k.domains, coalesce(spanned, []) as spanned,
+  qid in (select qid from open_terms) as has_open, k.project from eligible e join framed using (qid) join accounted using (qid) join support s using (qid) join keyed_subjects k using (qid) left join spanning using (qid)),
+exempted as (select *, all_routed and (domain = domains[1] or (project is null and list_contains(spanned, domain)) or (category = 'faq' and heading_domain = domains[1]) or topical) as exempt from judged),
+final as (select *, bool_or(topical) over (partition by qid, source_file) as whole_file, bool_or(exempt) over (partition by qid) as any_exempt from exempted)"""
+
+
+@query(f"with {ON_TOPIC_SQL} select qid, position from final where case when not has_open then true when any_exempt then exempt else whole_file end")
+def on_topic_blocks(spark, sf_dir):
+    """Eligible blocks of files that are about each question."""
+    subjects = supported(spark, sf_dir)
+    may = gates.eligible(stored(asked_blocks(spark, sf_dir), "blocks"), subjects)
+    return gates.on_topic(stored(gates.with_met_terms(may, subjects), "met"), subjects).select("qid", "position")
+
+
+# -- evaluation and embedding -----------------------------------------------------------------------
+
+
+def quoted_replies(spark, sf_dir) -> DataFrame:
+    """For every document a reply of two bullets out of it, which cites it or, for every fourth, the one before it."""
+    docs = corpus_files(spark, sf_dir).select("doc_id", "source_file")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7e]+", " ")
+    said = F.concat(F.lit("- **"), F.substring(text, 1, 80), F.lit("**\n- Noor uses "), F.substring(text, 41, 60))
+    replies = table(spark, sf_dir, "documents").select("doc_id", said.alias("response"))
+    cited = docs.select(F.col("doc_id").alias("_even"), F.col("source_file").alias("cited_file"))
+    rows = replies.withColumn("_even", F.col("doc_id") - F.when(F.col("doc_id") % 4 == 1, 1).otherwise(0)).join(cited, "_even")
+    return rows.select(F.col("doc_id").alias("qid"), "response", F.array("cited_file").alias("cited"))
+
+
+def ascii_files(spark, sf_dir) -> DataFrame:
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7e]+", " ")
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Noor "), text).alias("text"))
+    return corpus_files(spark, sf_dir).select("doc_id", "source_file").join(files, "doc_id").select("source_file", "text")
+
+
+def _sql_plain(text: str) -> str:
+    bare = f"regexp_replace(regexp_replace({text}, '\\*{{1,3}}|_{{1,3}}|`+', '', 'g'), '(?m)^\\s*(?:[-*+]|\\d{{1,3}}[.)])\\s+', '', 'g')"
+    return f"trim(regexp_replace(lower({bare}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+_ASCII = "regexp_replace(coalesce(text, ''), '[^\\x20-\\x7e]+', ' ', 'g')"
+GROUNDED_SQL = f"""ascii as materialized (select doc_id, {_ASCII} as t from documents),
+said as (select doc_id as qid, doc_id - case when doc_id % 4 = 1 then 1 else 0 end as cited, unnest([trim('**' || t[1:80] || '**'), trim('Noor uses ' || t[41:100])]) as statement from ascii),
+plains as (select distinct qid, statement, {_sql_plain('statement')} as p, {_sql_plain("'Noor ' || t")} as held from said join ascii on cited = ascii.doc_id),
+checked as materialized (select qid, statement, p = '' or contains(held, p) or contains(held, regexp_replace(p, '^noor\\s+(is|was|has|had|does|did|studies|works|focuses|describes|uses|built)', '\\1')) as grounded from plains)"""
+
+
+@query(f"with {GROUNDED_SQL} select qid, statement, grounded from checked")
+def grounded_statements(spark, sf_dir):
+    """Whether each statement of replies is part of the file that it cites."""
+    return evaluation.grounded_statements(quoted_replies(spark, sf_dir), ascii_files(spark, sf_dir), ("Noor",))
+
+
+@query(
+    f"""with {GROUNDED_SQL}, files as (select doc_id, source || '/no-' || doc_id || '_x.md' as source_file from documents), cases as (select d.doc_id as qid, d.doc_id - case when d.doc_id % 4 = 1 then 1 else 0 end as cited,
+  count(c.qid) as statements, count(*) filter (where not grounded) as violations from documents d left join checked c on c.qid = d.doc_id group by all)
+select count(*) as total, count(*) filter (where violations = 0 and cited = qid and qid % 5 <> 0) as passed, count(*) as answered, 0 as declined, 0 as blocked, 0 as refused, count(*)::bigint as source_total,
+  count(*) filter (where cited = qid)::bigint as source_hits, sum(statements)::bigint as statements, sum(violations)::bigint as violations, round(count(*) filter (where cited = qid) / count(*), 6) as source_accuracy, count(distinct cited) as documents from cases"""
+)
+def grounding_report(spark, sf_dir):
+    """Counts over a case for every document: it must cite its own file, every fifth must not be answered."""
+    replies = quoted_replies(spark, sf_dir).withColumns({"classification": F.lit("in_scope"), "outcome": F.lit("answered")})
+    own = corpus_files(spark, sf_dir)
+    none = F.array().cast("array<string>")
+    cases = own.select(
+        F.col("doc_id").alias("qid"), F.lit("in_scope").alias("classification"), F.when(F.col("doc_id") % 5 == 0, "no_context").otherwise("answered").alias("outcome"),
+        F.array("source_file").alias("must_cite"), none.alias("any_cite"), none.alias("may_cite"), none.alias("contains"), none.alias("excludes"),
+    )
+    told = evaluation.report(evaluation.evaluated_cases(cases, replies, ascii_files(spark, sf_dir), ("Noor",)))
+    return told.withColumn("source_accuracy", F.round("source_accuracy", 6))
+
+
+TOKENS, WIDTH = 8, 8
+_POOLED = f"list_transform(range({WIDTH}), lambda j: list_sum(list_transform(range({TOKENS}), lambda t: case when (vec_id + t) % 3 <> 0 and vec_id % 50 <> 0 then embedding[t * {WIDTH} + j + 1]::double else 0 end)) / greatest(case when vec_id % 50 = 0 then 0 else len(list_filter(range({TOKENS}), lambda t: (vec_id + t) % 3 <> 0)) end, 1e-9))"
+
+
+@query(
+    f"with p as (select vec_id, {_POOLED} as v from embeddings) select vec_id as position, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) as norm, "
+    "round(list_sum(list_transform(v, lambda x, i: x * i)), 6) as weighted from p"
+)
+def mean_pooled(spark, sf_dir):
+    """Vectors read as eight tokens, of which a third, or all of every fiftieth vector, are masked."""
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda t: F.slice("embedding", t * WIDTH + 1, WIDTH))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(TOKENS - 1)), lambda t: ((F.col("vec_id") % 50 != 0) & (F.pmod(F.col("vec_id") + t, F.lit(3)) != 0)).cast("int"))
+    pooled = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("position"), embedder.mean_pooled(tokens, mask, WIDTH).alias("v"))
+    weighted = F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return pooled.select("position", F.round(dense.norm(F.col("v")), 6).alias("norm"), F.round(weighted, 6).alias("weighted"))
