@@ -165,14 +165,14 @@ QUOTES = "'\"`“”‘’«»"
 QUOTE_PAIRS = {"'": "'", '"': '"', "`": "`", "“": "”", "‘": "’", "«": "»"}
 
 # Characters that look like Latin letters, and the letters they stand for.
-LOOKALIKES = (
-    "аеорсухіјѕһԁӏвмнтк", "aeopcyxijshdlbmhtk",
-    "οαεινρτυχγκ", "oaeivptuxyk",
-    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX",
-    "օաերխ", "oaers",
-    "ᴀᴇɪᴏᴛᴜɴʙᴄᴅғɢʜᴊᴋᴍᴘǫᴠᴡʏᴢɡ", "AEIOTLNBCDFGHJKMPOVWYZg",
-    "@$!|", "asil",
-)
+LOOKALIKES = {
+    0x0430: "a", 0x0435: "e", 0x043E: "o", 0x0440: "p", 0x0441: "c", 0x0443: "y", 0x0445: "x", 0x0456: "i", 0x0458: "j", 0x0455: "s", 0x04BB: "h", 0x0501: "d", 0x04CF: "l", 0x0432: "b", 0x043C: "m", 0x043D: "h", 0x0442: "t", 0x043A: "k",
+    0x03BF: "o", 0x03B1: "a", 0x03B5: "e", 0x03B9: "i", 0x03BD: "v", 0x03C1: "p", 0x03C4: "t", 0x03C5: "u", 0x03C7: "x", 0x03B3: "y", 0x03BA: "k",
+    0x0391: "A", 0x0392: "B", 0x0395: "E", 0x0396: "Z", 0x0397: "H", 0x0399: "I", 0x039A: "K", 0x039C: "M", 0x039D: "N", 0x039F: "O", 0x03A1: "P", 0x03A4: "T", 0x03A5: "Y", 0x03A7: "X",
+    0x0585: "o", 0x0561: "a", 0x0565: "e", 0x0580: "r", 0x056D: "s",
+    0x1D00: "A", 0x1D07: "E", 0x026A: "I", 0x1D0F: "O", 0x1D1B: "T", 0x1D1C: "L", 0x0274: "N", 0x0299: "B", 0x1D04: "C", 0x1D05: "D", 0x0493: "F", 0x0262: "G", 0x029C: "H", 0x1D0A: "J", 0x1D0B: "K", 0x1D0D: "M", 0x1D18: "P", 0x01EB: "O", 0x1D20: "V", 0x1D21: "W", 0x028F: "Y", 0x1D22: "Z", 0x0261: "g",
+    0x0040: "a", 0x0024: "s", 0x0021: "i", 0x007C: "l",
+}
 CHEROKEE = "AEIOUVGAKAGEGIGOGUGVHAHEHIHOHUHVLALELILOLULVMA"
 CHEROKEE_STARTS = (0x13A0, 0xAB70)
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "(": "c"}
