@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import dense
 
 #: Texts that a model encodes at once.
 BATCH = 64
@@ -34,6 +33,13 @@ def mean_pool(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return (np.asarray(tokens, np.float64) * weights).sum(axis=1) / np.clip(weights.sum(axis=1), LEAST_COUNT, None)
 
 
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
+    """Rows of length one, with NaN and infinite components as 0; zero rows stay zero."""
+    clean = np.nan_to_num(matrix, nan=0.0, posinf=0.0, neginf=0.0)
+    norms = np.linalg.norm(clean, axis=1, keepdims=True)
+    return clean / np.where(norms > 0, norms, 1.0)
+
+
 def mean_pooled(tokens: Column, mask: Column, dimension: int) -> Column:
     """``mean_pool`` for an array of token vectors and an array of 0 and 1, as an expression."""
     zero = F.array_repeat(F.lit(0.0), dimension)
@@ -60,10 +66,9 @@ def with_embeddings(df: DataFrame, encoder: Encoder, text: str = "text", output:
                 if pooled.shape != (len(some), encoder.dimension):
                     raise ValueError(f"{encoder.model_name} gave vectors of shape {pooled.shape} for {len(some)} texts of dimension {encoder.dimension}")
                 parts.append(pooled)
-            flat = np.concatenate(parts).ravel() if parts else np.zeros(0)
-            yield pa.array(list(flat.reshape(len(texts), encoder.dimension)), pa.list_(pa.float64())) if texts else pa.array([], pa.list_(pa.float64()))
+            yield pa.array([row for part in parts for row in unit_rows(part)], pa.list_(pa.float64()))
 
-    return df.withColumn(output, dense.normalise(embed(F.col(text))))
+    return df.withColumn(output, embed(F.col(text)))
 
 
 def embedded_chunks(chunks: DataFrame, encoder: Encoder) -> DataFrame:

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import routing_values as V
 from ..functions import text as T
-from ..operators import dense, embedder, gates, lexical, profile, routing
+from ..operators import context, dense, embedder, gates, lexical, profile, prompts, responses, routing, security
 from ..sources.stored import stored
 from . import evaluation
-from .catalogue import _sql_canonical, query, table
+from .catalogue import _sql_canonical, _sql_neutralised, query, table
 
 #: The invented subject of the written questions.
 SUBJECT = ("noor", "salim")
@@ -426,3 +426,93 @@ def mean_pooled(spark, sf_dir):
     pooled = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("position"), embedder.mean_pooled(tokens, mask, WIDTH).alias("v"))
     weighted = F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return pooled.select("position", F.round(dense.norm(F.col("v")), 6).alias("norm"), F.round(weighted, 6).alias("weighted"))
+
+
+# -- prompts and replies ------------------------------------------------------------------------------
+
+
+def fenced_for(spark, sf_dir) -> DataFrame:
+    """Two documents for each message whose id is no multiple of five, as fenced blocks (qid, rank, block)."""
+    docs = table(spark, sf_dir, "documents")
+    n = docs.count()
+    asked = asked_messages(spark, sf_dir).filter(F.col("qid") % 5 != 0)
+    at = asked.select("qid", F.posexplode(F.array(F.pmod("qid", F.lit(n)), F.pmod(F.col("qid") * 3 + 1, F.lit(n)))).alias("rank", "doc_id"))
+    block = context.rendered(F.col("source"), (F.col("rank") + 1) / F.lit(8.0), security.neutralised(F.coalesce("text", F.lit(""))), F.lit(False))
+    return at.join(docs.select("doc_id", "source", "text"), "doc_id").select("qid", "rank", block.alias("block"))
+
+
+def _sql_neutral(text: str) -> str:
+    out = f"replace({text}, chr(0), '')"
+    for mark in prompts.RESERVED:
+        out = f"replace({out}, '{mark}', '{security.MARKER}')"
+    return f"regexp_replace({out}, '^\\s+|\\s+$', '', 'g')"
+
+
+PROMPTS_SQL = f"""{ASKED_SQL}, spots as (select qid, r as rank, case when r = 0 then ((qid % n) + n) % n else (((qid * 3 + 1) % n) + n) % n end as doc_id from asked, range(2) t(r), (select count(*) as n from documents) where qid % 5 <> 0),
+blocks as (select qid, rank, concat_ws(chr(10), '{security.OPEN} source=' || source || ' similarity=' || printf('%.4f', (rank + 1) / 8.0) || '>>>', {_text(context.DATA_BANNER)}, {_sql_neutralised("coalesce(text, '')")}, '{security.CLOSE}') as block from spots join documents using (doc_id)),
+held as (select qid, string_agg(block, chr(10) || chr(10) order by rank) as shown from blocks group by qid),
+prompted as (select qid, concat_ws(chr(10) || chr(10), {_text(prompts.RULES)}, '{prompts.QUERY}' || chr(10) || {_sql_neutral("coalesce(message, '')")} || chr(10), {_text(prompts.PREAMBLE)}, coalesce(shown, '{prompts.NO_BLOCKS}'), {_text(prompts.REMINDER)}) as prompt from asked left join held using (qid))"""
+
+
+@query(f"with {PROMPTS_SQL} select qid, length(prompt) as chars, sha256(prompt) as prompt_sha256 from prompted")
+def built_prompts(spark, sf_dir):
+    """Prompts of all messages with two fenced documents, or none."""
+    built = prompts.prompts(asked_messages(spark, sf_dir), fenced_for(spark, sf_dir))
+    return built.select("qid", F.length("prompt").cast("long").alias("chars"), F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+#: Replies as they may come: sound, with a broken source, and malformed in turn.
+BODIES = (
+    '{"response": "- One fact.\\n- Two facts.", "classification": "in_scope", "outcome": "answered", "sources": [{"source_file": "a.md", "section": "A > B", "similarity": 0.5}, {"source_file": 7}, 3, {"section": "x"}], "retrieval_scores": [0.5]}',
+    '{"response": "No.", "classification": "injection", "outcome": "blocked_injection"}',
+    '{"response": " ", "classification": "in_scope", "outcome": "answered"}',
+    '{"response": 5, "classification": "in_scope", "outcome": "answered"}',
+    '{"response": "x", "classification": "in_scope", "outcome": "done"}',
+    '{"response": "x", "classification": "other", "outcome": "answered"}',
+    '{"response": "x", "classification": "in_scope", "outcome": "no_context", "sources": {"source_file": "a.md"}}',
+    "not json", "[1, 2]",
+)
+#: What becomes of them: (state, statements, sources).
+PARSED = (("answered", 2, 1), ("blocked", 1, 0)) + (("malformed", 0, 0),) * 7
+
+
+@query(
+    f"with kinds(k, state, statements, sources) as (values {', '.join(f'({k}, {_text(s)}, {a}, {b})' for k, (s, a, b) in enumerate(PARSED))}) "
+    f"select conv_id, turn, state, statements, sources from conversations join kinds on k = (conv_id * 7 + turn) % {len(BODIES)}"
+)
+def parsed_replies(spark, sf_dir):
+    """The state that a reply to each turn puts its reader into; replies are sound or broken by turn."""
+    body = F.get(F.array(*(F.lit(b) for b in BODIES)), ((F.col("conv_id") * 7 + F.col("turn")) % len(BODIES)).cast("int"))
+    parsed = responses.with_parsed(table(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("body")))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    held = F.col("parsed").isNotNull()
+    return parsed.select(
+        "conv_id", "turn", F.coalesce("parsed.state", F.lit("malformed")).alias("state"), F.when(held, size(responses.split_statements(F.col("parsed.response")))).otherwise(0).alias("statements"),
+        F.when(held, size(F.col("parsed.sources"))).otherwise(0).alias("sources"),
+    )
+
+
+@query(
+    f"with {PROFILE_SQL}, cited as (select doc_id, unnest([doc_id, doc_id, (doc_id * 7) % n]) as own, unnest(['Any > Part', 'Part', '']) as section, unnest([0, 1, 2]) as i from documents, (select count(*) as n from documents)), "
+    "named as (select cited.doc_id, i, coalesce(title, 'Document') as document, case when section = '' then '' else 'Part' end as section from cited join files on own = files.doc_id left join profile using (source_file)), "
+    "first as (select doc_id, document, section, min(i) as i from named group by all) select doc_id as qid, string_agg(document || '::' || section, '|' order by i) as shown from first group by doc_id"
+)
+def display_sources(spark, sf_dir):
+    """Distinct documents and sections of three sources a document, as a reader is shown them."""
+    own = corpus_files(spark, sf_dir).select("doc_id", "source_file")
+    n = own.count()
+    cites = F.array(F.struct(F.col("doc_id").alias("own"), F.lit("Any > Part").alias("section")), F.struct(F.col("doc_id").alias("own"), F.lit("Part").alias("section")), F.struct((F.col("doc_id") * 7 % n).alias("own"), F.lit("").alias("section")))
+    each = own.select(F.col("doc_id").alias("qid"), F.posexplode(cites).alias("i", "c")).select("qid", "i", "c.own", "c.section").join(own.withColumnRenamed("doc_id", "own"), "own")
+    replies = each.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("i", "source_file", "section"))).alias("sources"))
+    shown = responses.display_sources(replies, profile.file_profile(corpus_files(spark, sf_dir)))
+    return shown.select("qid", F.array_join(F.transform("shown", lambda d: F.concat(d["document"], F.lit("::"), d["section"])), "|").alias("shown"))
+
+
+@query(
+    "select 'ok' as status, 'veritrail' as app, 'deterministic-extractive' as answerer, 'table' as embedding_model, 0.35::double as similarity_threshold, (select count(*) from embeddings) as index_size, "
+    "(select max(len(embedding)) from embeddings) as index_dimension, (select count(distinct source) from documents) as knowledge_base_documents"
+)
+def health(spark, sf_dir):
+    """The state of the index."""
+    found = responses.health(table(spark, sf_dir, "documents").withColumnRenamed("source", "source_file"), table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vec"), "veritrail", "table", dense.THRESHOLD)
+    return found.withColumn("index_dimension", F.col("index_dimension").cast("long"))
