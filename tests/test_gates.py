@@ -92,9 +92,9 @@ def test_scoped_search_counts_the_whole_store(spark):
 
 def test_support(spark):
     files = spark.createDataFrame([("a.md", "skills", "A"), ("b.md", "goals", "B")], "source_file string, category string, title string")
-    vocabulary = spark.createDataFrame([("a.md", "haskell"), ("b.md", "lagoon"), ("z.md", "trombone")], "source_file string, term string")
+    chunks = spark.createDataFrame([("Haskell", ["skills", "file:a.md"]), ("A lagoon", ["goals", "file:b.md"]), ("trombone", None), (None, None)], "text string, keys array<string>")
     asked = spark.createDataFrame([(0, "What are his skills in Haskell?"), (1, "What are his skills with lagoons?"), (2, "What are his hobbies?"), (3, "Who is Noor?"), (4, "Which trombone?"), (5, "zzz qqq")], "qid long, message string")
-    got = {r.qid: (r.attested, r.lexical_support, r.documents, r.owners) for r in gates.with_support(profile.with_subject(asked, files, ("Noor",)), vocabulary, files, ("Noor",)).collect()}
+    got = {r.qid: (r.attested, r.lexical_support, r.documents, r.owners) for r in gates.with_support(profile.with_subject(asked, files, ("Noor",)), chunks, files, ("Noor",)).collect()}
     assert got == {
         0: (True, True, True, True), 1: (True, False, True, True), 2: (True, False, False, False), 3: (True, False, False, False), 4: (True, True, False, False), 5: (False, False, False, False),
     }
@@ -122,33 +122,34 @@ def test_grounding(spark):
     assert (total.total, total.passed, total.statements, total.violations, total.source_total, total.source_hits, total.documents) == (4, 1, 6, 1, 5, 3, 2)
 
 
-class Stub:
-    model_name, dimension = "stub", 3
+def stub(width):
+    """An encoder that says it has ``width`` components and gives three; a local class travels to workers by value."""
 
-    def encode(self, texts):
-        longest = max(map(len, texts)) + 1
-        tokens, mask = np.zeros((len(texts), longest, 3)), np.zeros((len(texts), longest))
-        for r, t in enumerate(texts):
-            for k, c in enumerate(t):
-                tokens[r, k], mask[r, k] = [ord(c) % 5, ord(c) % 7, float("nan") if c == "!" else 1], 1
-        return tokens, mask
+    class Stub:
+        model_name, dimension = "stub", width
 
+        def encode(self, texts):
+            longest = max(map(len, texts)) + 1
+            tokens, mask = np.zeros((len(texts), longest, 3)), np.zeros((len(texts), longest))
+            for r, t in enumerate(texts):
+                for k, c in enumerate(t):
+                    tokens[r, k], mask[r, k] = [ord(c) % 5, ord(c) % 7, float("nan") if c == "!" else 1], 1
+            return tokens, mask
 
-class Wrong(Stub):
-    dimension = 4
+    return Stub()
 
 
 def test_embedder(spark):
     texts = ["abc", "", None, "zz", "a!"] * 40
     df = spark.createDataFrame([(k, "" if k % 2 else "H", t) for k, t in enumerate(texts)], "position long, section string, text string")
-    got = {r.position: r.vec for r in embedder.embedded_chunks(df, Stub()).collect()}
+    got = {r.position: r.vec for r in embedder.embedded_chunks(df, stub(3)).collect()}
     assert len(got) == 200 and all(len(v) == 3 and (math.isclose(np.linalg.norm(v), 1, rel_tol=1e-9) or not any(v)) for v in got.values())
     mean = np.mean([[ord(c) % 5, ord(c) % 7, 1] for c in "zz"], axis=0)
     assert np.allclose(got[3], mean / np.linalg.norm(mean)) and not any(got[1]) and got[9][2] == 0
-    asked = embedder.embedded_questions(spark.createDataFrame([(1, "  "), (2, "ab")], "qid long, message string"), Stub())
+    asked = embedder.embedded_questions(spark.createDataFrame([(1, "  "), (2, "ab")], "qid long, message string"), stub(3))
     assert {r.qid: any(r.vec) for r in asked.collect()} == {1: False, 2: True}
     with pytest.raises(Exception, match="gave vectors of shape"):
-        embedder.with_embeddings(df, Wrong()).collect()
+        embedder.with_embeddings(df, stub(4)).collect()
     tokens, mask = np.arange(12.0).reshape(1, 4, 3), np.array([[1, 0, 1, 0]])
     row = spark.createDataFrame([(tokens[0].tolist(), mask[0].tolist())], "t array<array<double>>, m array<int>").select(embedder.mean_pooled(F.col("t"), F.col("m"), 3)).first()[0]
     assert row == embedder.mean_pool(tokens, mask)[0].tolist() == [3.0, 4.0, 5.0]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import routing_values as V
 from ..functions import text as T
+from ..sources.stored import stored
 from . import matching, profile, routing
 
 
@@ -21,25 +22,42 @@ def concepts(names: tuple[str, ...], text: str = "message") -> Column:
     return F.filter(terms, lambda w: ~w.isin(own)) if own else terms
 
 
-def with_support(subjects: DataFrame, vocabulary: DataFrame, files: DataFrame, names: tuple[str, ...] = (), text: str = "message") -> DataFrame:
-    """Add ``concepts``, ``attested``, ``lexical_support`` and ``documents`` to routed questions.
+#: The key of the whole vocabulary beside those of files and domains.
+EVERYTHING = "*"
 
-    ``vocabulary`` has (source_file, term), ``files`` the corpus profile.  A question is
-    attested if it has no concept, or some concept matches the vocabulary or a word that
-    routed it.  It has lexical support if some concept matches the vocabulary of the files
-    that own the answer, or the whole one where those have none.  ``documents`` says
-    whether any file may answer, ``owners`` whether any file owns the answer.
+
+def vocabulary(chunks: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, term): distinct terms of chunks (text, keys) under each of the wanted ``keys`` (key), and of all under ``EVERYTHING``.
+
+    Only wanted keys are spread before words are, so what is exchanged is a row for each
+    key and term of a partition, not the terms of every file.
+    """
+    read = chunks.select(F.concat(F.array(F.lit(EVERYTHING)), F.coalesce("keys", routing.no_words())).alias("_keys"), F.array_distinct(T.tokenise(F.col("text"))).alias("_terms"))
+    wanted = keys.select("key").distinct().unionByName(keys.sparkSession.createDataFrame([(EVERYTHING,)], "key string"))
+    spread = read.select(F.explode("_keys").alias("key"), "_terms").join(wanted, "key", "left_semi")
+    return spread.select("key", F.explode("_terms").alias("term")).distinct()
+
+
+def with_support(subjects: DataFrame, chunks: DataFrame, files: DataFrame, names: tuple[str, ...] = (), text: str = "message") -> DataFrame:
+    """Add ``concepts``, ``attested``, ``lexical_support``, ``documents`` and ``owners`` to routed questions.
+
+    ``chunks`` has (text, keys) as lexical search reads it, keys null where a file has no
+    category; ``files`` is the corpus profile.  A question is attested if it has no
+    concept, or some concept matches the vocabulary or a word that routed it.  It has
+    lexical support if some concept matches the vocabulary of the files that own the
+    answer, or the whole one where those have none.  ``documents`` says whether any file
+    may answer, ``owners`` whether any file owns the answer.
     """
     asked = subjects.withColumns({"concepts": concepts(names, text), "_owner": F.get(profile.contributing_keys(), 0), "_allowed": profile.allowed_keys()})
-    terms = asked.select("qid", "_owner", F.explode(F.array_distinct("concepts")).alias("term"))
-    words = vocabulary.select("term").distinct()
-    pairs = matching.matching_pairs(terms.select("term"), words).select(F.col("a").alias("term"), F.col("b").alias("token"))
+    terms = stored(asked.select("qid", "_owner", F.explode(F.array_distinct("concepts")).alias("term")), "concepts")
+    words = stored(vocabulary(chunks, asked.select(F.col("_owner").alias("key")).filter("key is not null")), "vocabulary")
+    pairs = matching.matching_pairs(terms.select("term"), words.filter(F.col("key") == EVERYTHING).select("term")).select(F.col("a").alias("term"), F.col("b").alias("token"))
+    pairs = stored(pairs, "concept-words")
     known = terms.join(pairs.select("term").distinct(), "term", "left_semi").select("qid").distinct().withColumn("_known", F.lit(True))
-    keyed = profile.with_keys(files.select("source_file").distinct(), files)
-    by_key = vocabulary.join(keyed.select("source_file", F.explode("keys").alias("_owner")), "source_file").select("_owner", F.col("term").alias("token")).distinct()
+    by_key = words.filter(F.col("key") != EVERYTHING).select(F.col("key").alias("_owner"), F.col("term").alias("token"))
     held = by_key.select("_owner").distinct().withColumn("_has_words", F.lit(True))
     scoped = terms.join(pairs, "term").join(by_key, ["_owner", "token"], "left_semi").select("qid").distinct().withColumn("_scoped", F.lit(True))
-    present = keyed.select(F.explode("keys").alias("key")).distinct()
+    present = profile.with_keys(files.select("source_file"), files).select(F.explode("keys").alias("key")).distinct()
     allowed = asked.select("qid", F.explode("_allowed").alias("key")).join(present, "key", "left_semi").select("qid").distinct().withColumn("documents", F.lit(True))
     owners = present.select(F.col("key").alias("_owner")).withColumn("owners", F.lit(True))
     rows = asked.join(known, "qid", "left").join(scoped, "qid", "left").join(allowed, "qid", "left").join(held, "_owner", "left").join(owners, "_owner", "left")
@@ -62,10 +80,10 @@ def eligible(blocks: DataFrame, subjects: DataFrame) -> DataFrame:
     return met.filter(~foreign).drop("_allowed", "_domains")
 
 
-def with_met_terms(blocks: DataFrame, subjects: DataFrame, text: str = "message") -> DataFrame:
-    """Add ``met``: those content terms of the question that a block's heading or text matches."""
+def with_met_terms(blocks: DataFrame, chunks: DataFrame, subjects: DataFrame, text: str = "message") -> DataFrame:
+    """Add ``met``: those content terms of the question that a block's heading or text matches; ``chunks`` has (position, section, text)."""
     asked = subjects.select("qid", F.explode(F.array_distinct(T.content_terms(F.col(text)))).alias("term"))
-    surface = blocks.select("position", "section", "text").dropDuplicates(["position"])
+    surface = chunks.select("position", "section", "text").join(blocks.select("position").distinct(), "position", "left_semi")
     tokens = surface.select("position", F.explode(F.array_distinct(T.content_terms(F.concat_ws(" ", "section", "text")))).alias("token"))
     pairs = matching.matching_pairs(asked.select("term"), tokens.select(F.col("token").alias("term"))).select(F.col("a").alias("term"), F.col("b").alias("token"))
     wanted = asked.join(pairs, "term")

@@ -58,14 +58,13 @@ def chat(
     judged, files = stored(judged, "judged-questions"), stored(files, "corpus-profile")
     asked = judged.filter(F.col("classification") == classify.IN_SCOPE).select("qid", "message", "vec")
     keyed = profile.with_keys(chunks, files)
-    indexed = chunks.select("position", "source_file", T.lexical_text(F.col("source_file"), F.col("section"), F.col("text")).alias("text"))
-    routed = stored(profile.with_subject(asked, files, subject.names), "routed-questions")
-    supported = stored(gates.with_support(routed, lexical.vocabulary(indexed), files, subject.names), "supported-questions")
     every = chunks.join(keyed.select("position", "keys"), "position", "left")
+    indexed = every.select("position", "keys", T.lexical_text(F.col("source_file"), F.col("section"), F.col("text")).alias("text"))
+    routed = stored(profile.with_subject(asked, files, subject.names), "routed-questions")
+    supported = stored(gates.with_support(routed, indexed, files, subject.names), "supported-questions")
     hits = stored(retrieve_routed(supported, every, vectors, top_k), "context")
     held = chunks.join(hits.select("position").distinct(), "position", "left_semi")
-    blocks = hits.select("qid", "position").join(stored(composing.described(held, files), "described-chunks"), "position")
-    composed = composing.compose(supported, blocks, lexical.document_frequencies(indexed), subject.names[0] if subject.names else None)
+    composed = composing.compose(supported, hits, stored(composing.described(held, files), "described-chunks"), lexical.document_frequencies(indexed), subject.names[0] if subject.names else None)
     composed = stored(composed, "composed")
     cites = hits.join(chunks.select("position", "section"), "position").join(composed.filter("response is not null").select("qid", "citations"), "qid")
     cites = cites.withColumn("_used", F.array_contains("citations", T.citation(F.col("source_file"), F.col("section"))))

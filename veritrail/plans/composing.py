@@ -32,13 +32,15 @@ def described(chunks: DataFrame, files: DataFrame) -> DataFrame:
     return judged.withColumn("absent", F.exists("units", lambda u: T.is_negative_evidence(u["text"])))
 
 
-def statements(blocks: DataFrame, subjects: DataFrame, weights: DataFrame, text: str = "message") -> DataFrame:
+def statements(blocks: DataFrame, known: DataFrame, subjects: DataFrame, weights: DataFrame, text: str = "message") -> DataFrame:
     """(qid, item) of the statements that may be quoted; ``item`` starts with what orders statements in their documents.
 
+    ``blocks`` names the chunks of ``known`` (``described``) that speak to each question,
     ``weights`` has (term, idf).  A statement scores the weights of its words that match the
     question's; its rare terms are those that restating is judged by.
     """
-    units = blocks.select("position", "section", "units").dropDuplicates(["position"]).select("position", "section", F.posexplode("units").alias("n", "u"))
+    held = known.join(blocks.select("position").distinct(), "position", "left_semi")
+    units = held.select("position", "section", F.posexplode("units").alias("n", "u"))
     said = units.select("position", "n", "section", F.col("u.text").alias("s"), F.col("u.prompt").alias("prompt"), F.col("u.is_list_item").alias("is_list_item"))
     whole = F.concat_ws(" ", "prompt", "s")
     read = said.filter(~S.is_meta_section(F.col("section")) & T.is_answerable(F.col("s"))).withColumns(
@@ -213,14 +215,16 @@ def rendered(items: Column, is_list: Column, subject: str | None) -> Column:
     return F.when(is_list, lines).otherwise(prose)
 
 
-def compose(subjects: DataFrame, blocks: DataFrame, weights: DataFrame, subject: str | None = None, text: str = "message") -> DataFrame:
+def compose(subjects: DataFrame, hits: DataFrame, known: DataFrame, weights: DataFrame, subject: str | None = None, text: str = "message") -> DataFrame:
     """(qid, declined, mode, statements, citations, response) for every question.
 
-    ``subjects`` are routed questions with support (``gates.with_support``), ``blocks`` has
-    (qid, position) with all columns of ``described``.  ``declined`` names the first gate
+    ``subjects`` are routed questions with support (``gates.with_support``), ``hits`` has
+    (qid, position), ``known`` the stored ``described`` chunks.  Texts stay with their
+    chunks; a question's blocks carry only what gates look at.  ``declined`` names the first gate
     that a question does not pass, and is null for those that are answered.
     """
-    may = stored(gates.with_met_terms(gates.eligible(blocks, subjects), subjects, text), "eligible-blocks")
+    blocks = gates.eligible(hits.select("qid", "position").join(known.drop("text", "units"), "position"), subjects)
+    may = stored(gates.with_met_terms(blocks, known, subjects, text), "eligible-blocks")
     topical = stored(gates.on_topic(may, subjects, text), "topical-blocks")
     passes = F.when(F.col("routing.intent") == V.UNKNOWN, NO_INTENT).when(F.col("unknown_project").isNotNull(), UNKNOWN_PROJECT).when(~F.col("documents"), NO_DOCUMENTS)
     some, kept = (x.select("qid").distinct().withColumn(n, F.lit(True)) for x, n in ((may, "_some"), (topical, "_kept")))
@@ -232,7 +236,7 @@ def compose(subjects: DataFrame, blocks: DataFrame, weights: DataFrame, subject:
     hits = F.size(F.filter("met", lambda t: ~profile.is_part_of_name(t, F.col("project"))))
     block = F.struct("source_file", "position", "category", "heading_domain", domain.alias("domain"), hits.alias("hits"))
     placed = speak.join(open_.select("qid", "project"), "qid").groupBy("qid").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
-    items = statements(speak, open_, weights, text).groupBy("qid").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    items = statements(speak, known, open_, weights, text).groupBy("qid").agg(F.array_sort(F.collect_list("item")).alias("items"))
     intent, said = F.col("routing.intent"), F.col(text)
     rows = open_.select(
         "qid", "routing", "project", "project_file", routing.is_listing(said, intent).alias("listing"), routing.is_overview(said, intent).alias("overview"), F.array_contains(T.words(said), "history").alias("asks_history")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import routing_values as V
 from ..functions import text as T
-from ..operators import context, dense, embedder, gates, lexical, profile, prompts, responses, routing, security
+from ..operators import context, dense, embedder, gates, profile, prompts, responses, routing, security
 from ..sources.stored import stored
 from . import evaluation
 from .catalogue import _sql_canonical, _sql_neutralised, query, table
@@ -257,11 +257,6 @@ def question_scope(spark, sf_dir):
 BLOCKS = 6
 
 
-def corpus_vocabulary(spark, sf_dir) -> DataFrame:
-    files = corpus_files(spark, sf_dir).select("doc_id", "source_file")
-    return lexical.vocabulary(files.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
-
-
 def _pairs_sql(left: str, right: str) -> str:
     """Matching pairs (term, token) of two one-column queries, by beginnings."""
     cut = "range(greatest(length({0}) - 3, 4), length({0}) + 1)"
@@ -292,7 +287,9 @@ def supported(spark, sf_dir) -> DataFrame:
     """Routed questions with what the corpus knows of their words."""
     files = stored(profile.file_profile(corpus_files(spark, sf_dir)), "profile")
     routed = stored(profile.with_subject(asked_messages(spark, sf_dir), files, SUBJECT), "routed")
-    return stored(gates.with_support(routed, corpus_vocabulary(spark, sf_dir), files, SUBJECT), "supported")
+    chunks = profile.with_keys(corpus_files(spark, sf_dir).select("doc_id", "source_file"), files)
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").join(chunks.select("doc_id", "keys"), "doc_id", "left")
+    return stored(gates.with_support(routed, texts, files, SUBJECT), "supported")
 
 
 @query(f"with {SUPPORT_SQL} select qid, attested, lexical_support, documents, owners from support")
@@ -301,19 +298,29 @@ def question_support(spark, sf_dir):
     return supported(spark, sf_dir).select("qid", "attested", "lexical_support", "documents", "owners")
 
 
-def asked_blocks(spark, sf_dir) -> DataFrame:
-    """Six documents for each question, under headings of which some name a domain; every seventeenth states an absence, every nineteenth is hostile."""
+def asked_blocks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Six documents for each question (qid, position), and the described documents, under headings of which some name a domain.
+
+    Every seventeenth document states an absence, every nineteenth is hostile.
+    """
     docs = table(spark, sf_dir, "documents")
     n = docs.count()
     at = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda j: F.pmod(F.col("qid") * 7 + j * 13, F.lit(n)))
     asked = asked_messages(spark, sf_dir).select("qid", F.explode(F.array_distinct(at)).alias("position"))
     said = F.when(F.col("doc_id") % 17 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" No award is recorded."))).otherwise(F.coalesce("text", F.lit("")))
     section = F.get(F.array(*(F.lit(s) for s in SECTIONS)), F.pmod("doc_id", F.lit(len(SECTIONS))).cast("int"))
-    chunks = corpus_files(spark, sf_dir).select("doc_id", "source_file").join(docs.select("doc_id", "text"), "doc_id")
-    chunks = chunks.select(F.col("doc_id").alias("position"), "source_file", section.alias("section"), said.alias("text"), (F.col("doc_id") % 19 == 0).alias("hostile"))
+    chunks = docs.select(F.col("doc_id").alias("position"), F.format_string("%s/no-%d_x.md", "source", "doc_id").alias("source_file"), section.alias("section"), said.alias("text"), (F.col("doc_id") % 19 == 0).alias("hostile"))
     keyed = profile.with_keys(chunks, profile.file_profile(corpus_files(spark, sf_dir)))
     described = routing.with_heading_domain(keyed, "section").withColumn("absent", T.is_negative_evidence(F.col("text")))
-    return asked.join(described, "position")
+    return asked, described
+
+
+def eligible_for(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Eligible blocks, the described documents and the routed questions."""
+    subjects = supported(spark, sf_dir)
+    asked, described = asked_blocks(spark, sf_dir)
+    flags = stored(described.drop("text"), "flags")
+    return stored(gates.eligible(asked.join(flags, "position"), subjects), "eligible"), described, subjects
 
 
 SECTIONS = ("Questions > Projects", "Questions > Skills and tools", "Any", "Questions > Goals", "Questions > Fun")
@@ -328,7 +335,7 @@ eligible as materialized (select qid, position, source_file, category, domain, s
 @query(f"with {BLOCKS_SQL} select qid, position from eligible")
 def eligible_blocks(spark, sf_dir):
     """Blocks that may speak to each question."""
-    return gates.eligible(stored(asked_blocks(spark, sf_dir), "blocks"), supported(spark, sf_dir)).select("qid", "position")
+    return eligible_for(spark, sf_dir)[0].select("qid", "position")
 
 
 ON_TOPIC_SQL = f"""{BLOCKS_SQL},
@@ -349,9 +356,8 @@ final as (select *, bool_or(topical) over (partition by qid, source_file) as who
 @query(f"with {ON_TOPIC_SQL} select qid, position from final where case when not has_open then true when any_exempt then exempt else whole_file end")
 def on_topic_blocks(spark, sf_dir):
     """Eligible blocks of files that are about each question."""
-    subjects = supported(spark, sf_dir)
-    may = gates.eligible(stored(asked_blocks(spark, sf_dir), "blocks"), subjects)
-    return gates.on_topic(stored(gates.with_met_terms(may, subjects), "met"), subjects).select("qid", "position")
+    may, described, subjects = eligible_for(spark, sf_dir)
+    return gates.on_topic(stored(gates.with_met_terms(may, described, subjects), "met"), subjects).select("qid", "position")
 
 
 # -- evaluation and embedding -----------------------------------------------------------------------
