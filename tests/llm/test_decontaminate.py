@@ -25,10 +25,6 @@ def brute(docs, items):
     found = {}
     for i, t in docs:
         for j, b in items:
-            if len(b) < 5:
-                if t == b:
-                    found[i, j] = (len(b), 0)
-                continue
             width = min(len(b), 13)
             need = width - (0 if width < 7 else 1 if width < 13 else 2)
             for shift in range(-len(b) + width, len(t) - width + 1):

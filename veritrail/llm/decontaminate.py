@@ -9,9 +9,9 @@ every such window: whatever two of thirteen positions differ, one of them fits b
 An item shorter than a window is its own window, with a mask of half its length and a
 tolerance in proportion: one substitution from seven words on, which leaves a half whole.
 
-Defined results: words are compared without letter case and punctuation; an item of fewer
-than ``PASSAGE_WORDS`` words is no passage, and a document leaks it by having no other
-words; null or empty texts have no words; repeated rows of an id count once; rows with a
+Defined results: words are compared without letter case and punctuation; items are sought
+in place whatever their length, so one of a word or two is found wherever it is said; a
+document of fewer words than a window and the item have is judged by none; null or empty texts have no words; repeated rows of an id count once; rows with a
 null id take no part; no other column is read, whatever its name.
 """
 
@@ -28,7 +28,6 @@ from .shared import BROADCAST_ROWS, stored
 #: Found by search as a pair that no two substitutions in thirteen words evade.
 SEEDS = ("11101011", "110100111")
 WINDOW, MISMATCHES = 13, 2
-PASSAGE_WORDS = 5
 
 
 def tolerance(n: Column | int) -> Column | int:
@@ -82,8 +81,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """
     items = _with_words(benchmark, item_id, item_text, "item_id").dropna().distinct()
     items = stored(items.withColumn("item_words", F.size("words")).filter(F.col("item_words") > 0), "leak-items")
-    lengths = items.filter((F.col("item_words") >= PASSAGE_WORDS) & (F.col("item_words") < WINDOW)).select("item_words").distinct()
-    masks = {r.item_words: short_mask(r.item_words) for r in lengths.collect()}  # at most WINDOW - PASSAGE_WORDS
+    lengths = items.filter(F.col("item_words") < WINDOW).select("item_words").distinct()
+    masks = {r.item_words: short_mask(r.item_words) for r in lengths.collect()}  # fewer than WINDOW
     seeds = _seeded(items.filter(F.col("item_words") >= WINDOW), list(SEEDS), "item_id")
     for n, mask in sorted(masks.items()):
         seeds = seeds.unionByName(_seeded(items.filter(F.col("item_words") == n), [mask], "item_id"))
@@ -109,9 +108,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     start = (F.col("shift") + F.col("first") + F.col("good") - 1).cast("long")
     matched = F.aggregate("same", F.lit(0), lambda a, x: a + x).cast("long")
     leaks = judged.filter("good > 0").select("doc_id", "item_id", F.col("item_words").cast("long").alias("item_words"), start.alias("start"), matched.alias("matched"))
-    tiny = items.filter(F.col("item_words") < PASSAGE_WORDS).select("item_id", "words", F.col("item_words").cast("long").alias("item_words"))
-    whole = words.filter(F.size("words").between(1, PASSAGE_WORDS - 1)).join(tiny, "words")
-    leaks = leaks.unionByName(whole.select("doc_id", "item_id", "item_words", F.lit(0).cast("long").alias("start"), F.col("item_words").alias("matched")))
     best = F.max(F.struct("matched", (-F.col("start")).alias("before"))).alias("best")
     return leaks.groupBy("doc_id", "item_id", "item_words").agg(best).select(
         "doc_id", "item_id", (-F.col("best.before")).alias("start"), F.col("best.matched").alias("matched"), "item_words"
