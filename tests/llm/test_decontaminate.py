@@ -85,3 +85,17 @@ def test_stages_take_empty_tables_and_nulls(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0, name
         assert stage(spark, odd, sf).count() >= 1, name
+
+
+def test_repeated_and_null_ids_lose_only_copies(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    said = [" ".join(RNG.choice(WORDS) for _ in range(60)) for _ in range(5)]
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rows = [(7, said[0]), (7, said[1]), (7, said[1]), (3, said[1]), (None, said[2]), (None, said[2]), (None, said[3]), (9, said[3]), (None, item), (8, said[4])]
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    once = corpus_pipeline.one_of_each(spark, odd, sf)
+    assert once.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in once.collect()), key=repr)
+    assert kept == sorted([(7, said[0]), (3, said[1]), (None, said[2]), (9, said[3]), (None, item), (8, said[4])], key=repr)
+    assert (None, item) not in {(r.doc_id, r.text) for r in corpus_pipeline.drop_leaks(spark, once, sf).collect()}
