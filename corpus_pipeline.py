@@ -28,27 +28,39 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return judged.filter(~F.col("_language.rejected")).select(docs.columns)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is not in ``ids`` (doc_id); those with a null id stay."""
-    ids = stored(ids.select("doc_id").distinct(), "pipeline-ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti")
+#: Tells rows apart within a stage.
+KEY = "_row_key"
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """Documents with a key of their own, and whether that is their id: rows are numbered where an id is null or repeated."""
+    if docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
+        return docs.withColumn(KEY, F.col("doc_id")), True
+    return stored(docs.withColumn(KEY, F.monotonically_increasing_id()), "pipeline-rows"), False
+
+
+def _without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Keyed documents whose key is not in ``keys`` (doc_id), without their key."""
+    keys = stored(keys.select(F.col("doc_id").alias(KEY)).distinct(), "pipeline-ids")
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, KEY, "left_anti").drop(KEY)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of copies and near copies; of repeated ids one row."""
-    classes = stored(near_dedup.near_duplicate_classes(docs), "pipeline-classes").filter(F.col("doc_id").isNotNull())
-    kept = _without(docs, classes.filter("doc_id <> class_id"))
-    repeated = classes.groupBy("doc_id").count().filter("count > 1")
-    if repeated.isEmpty():
-        return kept.select(docs.columns)
-    again = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _without(kept, repeated).select(docs.columns).unionByName(again.select(docs.columns))
+    """Of each class of copies and near copies the document with the smallest id, null last; an id's other texts are documents of their own."""
+    rows, by_id = _keyed(docs)
+    classes = stored(near_dedup.near_duplicate_classes(rows, KEY), "pipeline-classes")
+    if by_id:
+        return _without(rows, classes.filter("doc_id <> class_id")).select(docs.columns)
+    named = classes.join(rows.select(F.col(KEY).alias("doc_id"), F.col("doc_id").alias("id")), "doc_id")
+    first = named.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id"))["doc_id"].alias("doc_id"))
+    return _without(rows, classes.join(first.select("doc_id"), "doc_id", "left_anti")).select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of ``benchmark``."""
-    leaks = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, leaks).select(docs.columns)
+    rows, _ = _keyed(docs)
+    leaks = decontaminate.find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), KEY)
+    return _without(rows, leaks).select(docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
