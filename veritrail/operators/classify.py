@@ -26,15 +26,23 @@ SMALLTALK = (
 ADDRESSEES = ("there", "everyone", "all", "man", "friend")
 
 
+#: Topics that any corpus about a person covers; those of one corpus, such as its projects, come with its profile.
+TOPICS = (
+    "portfolio", "about you", "about the assistant", "your name", "his name", "full name", "what's your name", "whats your name", "who are you", "what are you", "what can you do",
+    "your skills", "your experience", "your background", "your projects", "your project", "your work", "your knowledge", "your knowledge base", "your docs", "your documentation",
+    "your resume", "your cv", "your education", "your certifications", "your achievements", "your stack", "tech stack", "tech used", "technologies used", "tools used",
+    "skills", "experience", "projects", "project", "resume", "cv", "curriculum vitae", "education", "degree", "university", "certifications", "achievements",
+    "contact", "email", "github", "linkedin", "website", "blog", "availability", "interests", "interest", "hobbies", "hobby", "pastimes", "pastime", "for fun", "do for fun", "enjoy",
+    "free time", "spare time", "help me", "advice", "summarize", "summary", "summarise", "difference between",
+)
+
+
 @dataclass(frozen=True)
 class Profile:
     """Whom a corpus is about and which topics it covers; all corpus-specific words are here."""
 
     names: tuple[str, ...] = ()
-    topics: tuple[str, ...] = (
-        "portfolio", "about you", "your name", "full name", "who are you", "what are you", "what can you do", "skills", "experience", "projects", "project", "resume", "cv",
-        "education", "degree", "university", "certifications", "achievements", "contact", "email", "availability", "interests", "hobbies", "tech stack", "summary",
-    )
+    topics: tuple[str, ...] = TOPICS
 
 
 def is_smalltalk(text: Column, profile: Profile = Profile()) -> Column:
@@ -43,8 +51,8 @@ def is_smalltalk(text: Column, profile: Profile = Profile()) -> Column:
 
 
 def topics(text: Column, profile: Profile = Profile()) -> Column:
-    """Topics of the profile that a text names as whole words, in order, lower-cased; the longest at a place."""
-    words = sorted({t.strip().lower() for t in profile.topics if t.strip()}, key=lambda t: (-len(t), t))
+    """Topics and names of the profile that a text has as whole words, in order, lower-cased; the longest at a place."""
+    words = sorted({t.strip().lower() for t in (*profile.topics, *profile.names) if t.strip()}, key=lambda t: (-len(t), t))
     if not words:
         return F.array().cast("array<string>")
     pattern = rf"(?iuU)(?<!\w)({'|'.join(re.escape(t) for t in words)})(?!\w)"

@@ -332,7 +332,7 @@ def distinct_statements(spark, sf_dir):
 _TOPICS = sorted({t.lower() for t in classify.Profile().topics}, key=lambda t: (-len(t), t))
 _SMALLTALK = classify.SMALLTALK.replace("(?iuU)", "(?i)") + rf"(?:\\s+(?:{'|'.join(classify.ADDRESSEES)}))?[\\s!.,?🙂👋]*$".replace("\\\\", "\\")
 CLASSIFIED_SQL = f"""{SCREENED_SQL}, read as (select message_id, rules <> '' as attack, trim(coalesce(text, '')) as said from messages),
-facts as (select *, regexp_matches(said, {_sql_text(_SMALLTALK)}) as small, list_transform(regexp_extract_all(said, '(?i)\\b({'|'.join(_TOPICS)})\\b'), lambda t: lower(t)) as topics,
+facts as (select *, regexp_matches(said, {_sql_text(_SMALLTALK)}) as small, list_transform(regexp_extract_all(said, {_sql_text('(?i)\\b(' + '|'.join(_TOPICS) + ')\\b')}), lambda t: lower(t)) as topics,
   list_has_any(regexp_extract_all(lower(said), '[a-z0-9'']+'), [{", ".join(map(_sql_text, classify.SUBJECT_WORDS))}]) and list_has_any(regexp_extract_all(lower(said), '[a-z]+'), [{", ".join(map(_sql_text, classify.QUESTION_WORDS))}]) as asks from read)"""
 
 
