@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import classify, context, dense, evidence, fusion, lexical, matching, security, selection
+from ..sources.stored import stored
 
 PEAK_FLOOR, LEAST_CHARS, FOCUSED, CLIP = 1.6, 12, 5, 320
 ANSWERED, NO_CONTEXT, BLOCKED_INPUT, BLOCKED_OUTPUT, OFF_TOPIC = "answered", "no_context", "blocked_injection", "blocked_output", "off_topic"
@@ -63,13 +64,6 @@ def answer(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, replies:
     With a ``profile``, questions outside its subject are told so and not searched for;
     without one every question that is no attack is in scope.
     """
-    return planned(questions, chunks, vectors, replies, top_k, profile)[0]
-
-
-def planned(
-    questions: DataFrame, chunks: DataFrame, vectors: DataFrame, replies: Replies = Replies(), top_k: int = dense.TOP_K, profile: classify.Profile | None = None
-) -> tuple[DataFrame, list[DataFrame]]:
-    """The rows of ``answer`` and the tables that they keep cached, for the caller to release."""
     own = questions.select("qid", "message", "vec")
     if profile is None:
         judged = security.with_verdict(own, "message")
@@ -78,14 +72,15 @@ def planned(
     else:
         judged = classify.classify(own, profile)
         judged = judged.withColumns({"smalltalk": F.col("classification.smalltalk"), "classification": F.col("classification.class")})
-    judged = judged.persist()
+    judged = stored(judged, "judged")
     asked = judged.filter(F.col("classification") == classify.IN_SCOPE).select("qid", "message", "vec")
     indexed = chunks.withColumn("text", T.lexical_text(F.col("source_file"), F.col("section"), F.col("text")))
-    found = fusion.retrieve(indexed, vectors, asked, top_k=top_k).persist()
-    hits = fusion.expand_siblings(found, chunks).persist()  # read four times below; a lost part is computed again
-    said = statements(hits, chunks).persist()
+    found = stored(fusion.retrieve(indexed, vectors, asked, top_k=top_k), "hits")
+    hits = stored(fusion.expand_siblings(found, chunks), "context")
+    said = stored(statements(hits, chunks), "statements")
     scored = scored_statements(hits, said, asked, lexical.document_frequencies(indexed.select("position", "text")))
-    strong = selection.above_floor(scored.filter(F.col("peak") >= PEAK_FLOOR)).join(said.select("position", "n", "statement"), ["position", "n"]).persist()
+    strong = selection.above_floor(scored.filter(F.col("peak") >= PEAK_FLOOR)).join(said.select("position", "n", "statement"), ["position", "n"])
+    strong = stored(strong, "strong-statements")
     ordered = strong.select(
         "qid", F.struct(T.is_negative_evidence(F.col("statement")).alias("absent"), (-F.round("peak", 9)).alias("peak"), (-F.round("score", 9)).alias("score"), "position", "n").alias("rank"), "statement"
     )
@@ -100,8 +95,7 @@ def planned(
     polite = F.when(F.col("smalltalk"), replies.smalltalk).otherwise(replies.off_topic)
     response = F.when(blocked, replies.refusal).when(outside, polite).otherwise(security.vetted(F.col("text"), replies.no_context))
     none = F.array().cast("array<string>")
-    rows = judged.join(answers, "qid", "left").select(
+    return judged.join(answers, "qid", "left").select(
         "qid", "classification", outcome.alias("outcome"), response.alias("response"), F.when(blocked | outside, none).otherwise(F.coalesce("sources", none)).alias("sources"),
         F.transform("verdict.matches", lambda m: m["rule_id"]).alias("rule_ids"),
     )
-    return rows, [strong, said, hits, found, judged]

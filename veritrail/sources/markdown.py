@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from fnmatch import fnmatch
 from pathlib import Path, PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,9 @@ from ..operators.chunking import MAX_CHARS, OVERLAP_CHARS, chunk_documents
 SUFFIXES = (".md", ".markdown")
 #: What a corpus leaves out unless told otherwise.
 EXCLUDED = (".*", "drafts/**", "_drafts/**", "exports/**", "*.tmp.md", "*~")
-MANIFEST_VERSION = 2
+MANIFEST_VERSION = 3
+#: Files whose bytes a task holds at once.
+FILES_AT_ONCE = 16
 
 
 def is_excluded(path: str, globs=EXCLUDED) -> bool:
@@ -38,10 +42,22 @@ def list_files(folder: str, globs=EXCLUDED) -> list[str]:
 
 
 def read_files(spark: SparkSession, folder: str, globs=EXCLUDED) -> DataFrame:
-    """(source_file, content, text) of a folder on the driver.  Spark's own listing hides names that begin with ``_``, so paths are given."""
-    rows = [(p, bytearray((Path(folder) / p).read_bytes())) for p in list_files(folder, globs)]
-    files = spark.createDataFrame(rows, "source_file string, content binary")
-    return files.withColumn("text", F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", ""))
+    """(source_file, content, text) of a folder that driver and executors share.
+
+    The driver lists names alone; tasks read the files.  Spark's own listing hides names
+    that begin with ``_``, so paths are given.
+    """
+    names = spark.createDataFrame([(p,) for p in list_files(folder, globs)], "source_file string")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, FILES_AT_ONCE):
+                some = batch.slice(k, FILES_AT_ONCE)
+                contents = [(Path(folder) / p).read_bytes() for p in some.column("source_file").to_pylist()]
+                yield pa.record_batch([some.column("source_file"), pa.array(contents, pa.binary())], names=["source_file", "content"])
+
+    files = names.repartition(spark.sparkContext.defaultParallelism).mapInArrow(read, "source_file string, content binary")
+    return files.withColumn("text", F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", ""))
 
 
 def load_chunks(files: DataFrame, max_chars: int = MAX_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
@@ -57,11 +73,16 @@ def load_chunks(files: DataFrame, max_chars: int = MAX_CHARS, overlap_chars: int
 
 
 def fingerprint(files: DataFrame) -> str:
-    """SHA-256 over path, zero byte, content and line feed of all files in path order."""
-    parts = F.concat(F.encode("source_file", "UTF-8"), F.unhex(F.lit("00")), F.col("content"), F.unhex(F.lit("0A")))
-    rows = F.sort_array(F.collect_list(F.struct("source_file", parts.alias("part"))))
-    joined = F.aggregate(rows, F.unhex(F.lit("")), lambda a, r: F.concat(a, r["part"]))
-    return files.agg(F.sha2(joined, 256).alias("digest")).first().digest
+    """A digest of all paths and contents, whatever the order of rows; of no files, that of an empty text.
+
+    Each file's digest is taken where it is read.  Files meet in 4096 groups by the
+    digest of their path, in path order, and the groups' digests in one row.
+    """
+    each = files.select("source_file", F.substring(F.sha2("source_file", 256), 1, 3).alias("group"), F.sha2("content", 256).alias("digest"))
+    line = F.concat("source_file", F.lit("\0"), F.coalesce("digest", F.lit("")), F.lit("\n"))
+    groups = each.groupBy("group").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), ""), 256).alias("digest"))
+    whole = groups.agg(F.sort_array(F.collect_list(F.concat("group", F.lit(" "), "digest", F.lit("\n")))).alias("lines"))
+    return whole.select(F.sha2(F.array_join("lines", ""), 256).alias("digest")).first().digest
 
 
 def manifest(files: DataFrame, chunks: DataFrame, model: str, dimension: int, max_chars: int = MAX_CHARS, overlap_chars: int = OVERLAP_CHARS) -> dict:
@@ -74,11 +95,14 @@ def manifest(files: DataFrame, chunks: DataFrame, model: str, dimension: int, ma
 
 def save_index(chunks: DataFrame, vectors: DataFrame, folder: str, described: dict) -> bool:
     """Write chunks and vectors under the fingerprint's name, then the manifest that points to them; an empty index is not written."""
-    rows, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    broken = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows, width, least, bad = vectors.agg(F.count(F.lit(1)), F.max(F.size("vec")), F.min(F.size("vec")), F.count_if(F.coalesce(broken, F.lit(True)))).first()
     if not described["chunks"]:
         return False
     if rows != described["chunks"] or width != described["dimension"]:
         raise ValueError("the manifest disagrees with the vectors")
+    if least != width or bad:
+        raise ValueError("vectors must be of one width and finite")
     chunks.write.mode("overwrite").parquet(f"{folder}/v={described['fingerprint']}/chunks")
     vectors.write.mode("overwrite").parquet(f"{folder}/v={described['fingerprint']}/vectors")
     fresh = Path(folder) / "manifest.json.new"
