@@ -123,7 +123,8 @@ def test_every_gram_and_context_keeps_its_own_key(spark):
     words = ["".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(12)) for _ in range(5_000)]
     rows = [(k, " ".join(words[at : at + 50]), "aa", at // 50 % 2) for k, at in enumerate(range(0, len(words), 50))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
-    marked = docs.select("doc_id", (toxicity.fold(F.col("doc_id")) % 4 != 2).alias("known"), (F.floor(toxicity.fold(F.col("doc_id")) / 4) % 5 == 0).alias("calibrates")).collect()
+    marked = docs.select("doc_id", (toxicity.fold(F.col("doc_id")) % 4 != 2).alias("known"), (F.floor(toxicity.fold(F.col("doc_id")) / 4) % 5 == 0).alias("calibrates"), F.xxhash64("doc_id").alias("place")).collect()
+    drawn = {r.doc_id for r in sorted((r for r in marked if r.known and r.calibrates), key=lambda r: r.place)[:3]}
 
     def distinct(counted, m):
         padded = [kn._START * 4 + w + kn._END for k in counted for w in rows[k][1].split()]
@@ -133,6 +134,7 @@ def test_every_gram_and_context_keeps_its_own_key(spark):
     models = (
         (language_id.fit(docs).model, [r.doc_id for r in marked if r.known]),
         (toxicity.fit(docs, docs).model, [r.doc_id for r in marked if r.known and not r.calibrates]),
+        (toxicity.fit(docs, docs, calibration_rows=3).model, [r.doc_id for r in marked if r.known and r.doc_id not in drawn]),
     )
     for model, counted in models:
         for m in (4, 5):

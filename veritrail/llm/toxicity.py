@@ -93,14 +93,15 @@ def fold(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, order: int = 5, shared: int = 3, hash_bits: int = 64, calibration_rows: int = CALIBRATION_ROWS) -> ToxicityModel | None:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), without ids whose crc32 mod 4 is 2.
 
-    A fifth of the labelled documents by hash is kept for calibration, of which at most
-    ``calibration_rows`` are used; all others are counted.  The labels are broadcast only
-    while they have at most ``BROADCAST_ROWS`` rows; beyond that Spark shuffles the join.
+    Of a fifth of the labelled documents by hash the first ``calibration_rows`` fit the
+    regression; all others are counted.  The labels are broadcast only while they have at
+    most ``BROADCAST_ROWS`` rows; beyond that Spark shuffles the join.
     """
     crc = fold(F.col("doc_id"))
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("cls")).dropna()
     known = known.filter(crc % 4 != 2).groupBy("doc_id").agg(F.max("cls").alias("cls"))
-    known = stored(known.withColumn("calibrates", F.floor(crc / 4) % 5 == 0), "toxicity-labels")
+    known = stored(known.withColumn("fifth", F.floor(crc / 4) % 5 == 0), "toxicity-labels")
+    sample = stored(known.filter("fifth").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows), "toxicity-sample")
     texts = docs.select("doc_id", kn.normal_words(F.col("text")).alias("norm"))
 
     def labelled(part: DataFrame) -> DataFrame:
@@ -108,9 +109,9 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = 5, shared: int = 3, has
 
     if known.isEmpty():
         return None
-    counts = stored(kn.word_counts(labelled(known.filter(~F.col("calibrates")))), "toxicity-words")
+    counted = known.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")  # at most calibration_rows
+    counts = stored(kn.word_counts(labelled(counted)), "toxicity-words")
     model = kn.train(counts, order, hash_bits, 2, shared)
-    sample = known.filter("calibrates").orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
     shared_model = kn.shared_model(docs.sparkSession, model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
