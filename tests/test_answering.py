@@ -64,3 +64,14 @@ def test_statements_behind_many_repeats_are_kept(spark):
     got = {r.qid: r.kept for r in selection.without_repeats(df, 5).collect()}
     assert got == {q: [said[0], said[60], said[62]] for q in (1, 2)}
     assert selection.without_repeats(df, 2).first().kept == [said[0], said[60]]
+
+
+def test_common_words_restate_nothing(spark):
+    said = ["Anna built a satellite imagery pipeline near Bergen harbour", "A satellite imagery pipeline was drawn, priced, sold, moved, sunk and mourned by sailors"]
+    df = spark.createDataFrame([(1, k, s) for k, s in enumerate(said)], "qid int, rank int, statement string")
+    idf = {"satellite": 0.5, "imagery": 0.5, "pipeline": 0.5}
+    words = {w.strip(",").lower() for s in said for w in s.split()}
+    weights = spark.createDataFrame([(w, idf.get(w, 3.0)) for w in words], "term string, idf double")
+    few = spark.createDataFrame([(w, 3.0) for w in idf], "term string, idf double")
+    assert selection.without_repeats(df, 5, weights).first().kept == said
+    assert selection.without_repeats(df, 5, few).first().kept == said[:1]

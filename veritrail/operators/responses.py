@@ -48,6 +48,19 @@ def with_parsed(df: DataFrame, body: str = "body", output: str = "parsed") -> Da
     return read.withColumn(output, F.when(F.coalesce(valid, F.lit(False)), parsed)).drop("_v")
 
 
+#: Why a request is refused.
+MALFORMED, BLANK, TOO_LONG = "malformed", "blank", "too_long"
+
+
+def with_request(df: DataFrame, most: int, body: str = "body") -> DataFrame:
+    """Add ``message`` and ``error`` of a JSON request: its message, or why there is none; other fields of a request are an error."""
+    read = df.withColumn("_v", F.try_parse_json(F.col(body)))
+    said = _text_at(F.col("_v"), "$.message")
+    extra = F.coalesce(F.size(F.json_object_keys(F.col(body))), F.lit(0)) > 1
+    error = F.when(said.isNull() | extra, MALFORMED).when(T.stripped(said) == "", BLANK).when(F.length(said) > most, TOO_LONG)
+    return read.withColumns({"error": error, "message": F.when(error.isNull(), said)}).drop("_v")
+
+
 def split_statements(response: Column) -> Column:
     """The bullets of a reply without their marks, or all of it if it has none."""
     lines = F.filter(F.transform(F.split(F.coalesce(response, F.lit("")), "\n", -1), T.stripped), lambda x: x != "")

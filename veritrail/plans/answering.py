@@ -78,13 +78,14 @@ def answer(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, replies:
     found = stored(fusion.retrieve(indexed, vectors, asked, top_k=top_k), "hits")
     hits = stored(fusion.expand_siblings(found, chunks), "context")
     said = stored(statements(hits, chunks), "statements")
-    scored = scored_statements(hits, said, asked, lexical.document_frequencies(indexed.select("position", "text")))
+    weights = stored(lexical.document_frequencies(indexed.select("position", "text")), "weights")
+    scored = scored_statements(hits, said, asked, weights)
     strong = selection.above_floor(scored.filter(F.col("peak") >= PEAK_FLOOR)).join(said.select("position", "n", "statement"), ["position", "n"])
     strong = stored(strong, "strong-statements")
     ordered = strong.select(
         "qid", F.struct(T.is_negative_evidence(F.col("statement")).alias("absent"), (-F.round("peak", 9)).alias("peak"), (-F.round("score", 9)).alias("score"), "position", "n").alias("rank"), "statement"
     )
-    kept = selection.without_repeats(ordered, FOCUSED)
+    kept = selection.without_repeats(ordered, FOCUSED, weights)
     rendered = kept.select("qid", F.array_join(F.transform("kept", lambda s: T.as_sentence(T.clip(s, CLIP))), " ").alias("text"), F.explode("kept").alias("statement"))
     files = chunks.select("position", T.citation(F.col("source_file"), F.col("section")).alias("citation"))
     cited = rendered.join(strong.select("qid", "statement", "position"), ["qid", "statement"]).join(files, "position")

@@ -498,6 +498,20 @@ def parsed_replies(spark, sf_dir):
     )
 
 
+@query(
+    "with requests as (select conv_id, turn, text, (conv_id + turn) % 7 as kind from conversations) select conv_id, turn, case when kind = 0 then '' when kind in (1, 2, 3) then '' when length(text) > 400 then '' when regexp_matches(text, '^\\s*$') then '' else text end as message, "
+    "case when kind in (0, 1, 2) then 'malformed' when kind = 3 or regexp_matches(text, '^\\s*$') then 'blank' when length(text) > 400 then 'too_long' else '' end as error from requests"
+)
+def parsed_requests(spark, sf_dir):
+    """Requests made of all turns, some of them broken: no JSON, a number for a message, a further field, a blank message."""
+    text = F.coalesce("text", F.lit(""))
+    kinds = F.array(F.lit("{"), F.lit('{"message": 5}'), F.to_json(F.struct(text.alias("message"), F.lit(1).alias("more"))), F.lit('{"message": " "}'))
+    sound = F.to_json(F.struct(text.alias("message")))
+    body = F.coalesce(F.get(kinds, ((F.col("conv_id") + F.col("turn")) % 7).cast("int")), sound)
+    read = responses.with_request(table(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("body")), 400)
+    return read.select("conv_id", "turn", F.coalesce("message", F.lit("")).alias("message"), F.coalesce("error", F.lit("")).alias("error"))
+
+
 @query(
     f"with {PROFILE_SQL}, cited as (select doc_id, unnest([doc_id, doc_id, (doc_id * 7) % n]) as own, unnest(['Any > Part', 'Part', '']) as section, unnest([0, 1, 2]) as i from documents, (select count(*) as n from documents)), "
     "named as (select cited.doc_id, i, coalesce(title, 'Document') as document, case when section = '' then '' else 'Part' end as section from cited join files on own = files.doc_id left join profile using (source_file)), "
