@@ -158,13 +158,13 @@ def split_sentences(text: Column) -> Column:
 
 
 def clip(text: Column, most: int = 320) -> Column:
-    """At most ``most`` characters, cut at a word and marked."""
-    cut = F.rtrim(F.regexp_replace(F.substring(text, 1, most), r"\s+\S*$", ""))
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(cut, r"[ ,;:]+$", ""), F.lit("...")))
+    """At most ``most`` characters, cut at the last space, if there is one, and marked."""
+    cut = F.regexp_replace(F.substring(text, 1, most), r" [^ ]*\z", "")
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(cut, r"[ ,;:]+\z", ""), F.lit("...")))
 
 
 def as_sentence(text: Column) -> Column:
-    return F.when(text.rlike("[.!?]$"), text).otherwise(F.concat(text, F.lit(".")))
+    return F.when(text.rlike(r"[.!?]\z"), text).otherwise(F.concat(text, F.lit(".")))
 
 
 def is_answerable(text: Column) -> Column:

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import routing_values as V
 from ..functions import text as T
-from ..operators import context, dense, embedder, gates, profile, prompts, responses, routing, security
+from ..operators import chunking, context, dense, embedder, evidence, gates, profile, prompts, responses, routing, security, selection
 from ..sources.stored import stored
 from . import evaluation
-from .catalogue import _sql_canonical, _sql_neutralised, query, table
+from .catalogue import MARKED_SQL, _sql_any, _sql_canonical, _sql_neutralised, marked_messages, query, table
 
 #: The invented subject of the written questions.
 SUBJECT = ("noor", "salim")
@@ -536,3 +536,93 @@ def health(spark, sf_dir):
     """The state of the index."""
     found = responses.health(table(spark, sf_dir, "documents").withColumnRenamed("source", "source_file"), table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vec"), "veritrail", "table", dense.THRESHOLD)
     return found.withColumn("index_dimension", F.col("index_dimension").cast("long"))
+
+
+# -- chunks and statements of made-up files, whose parts are known in closed form -----------------------
+
+
+def solid_files(spark, sf_dir) -> DataFrame:
+    """Each document without white space as one long line, and a short section after it."""
+    solid = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z0-9.,!?;]", "")
+    return table(spark, sf_dir, "documents").select(F.format_string("%s/doc-%d.md", "source", "doc_id").alias("source_file"), F.concat(solid, F.lit("\n\n# Part\n\n- short")).alias("text"))
+
+
+@query(
+    f"with solid as (select source || '/doc-' || doc_id || '.md' as source_file, 'doc-' || doc_id as stem, regexp_replace(coalesce(text, ''), '[^a-zA-Z0-9.,!?;]', '', 'g') as t from documents), "
+    f"long as (select source_file, stem, 'Document' as section, t[i * {chunking.MAX_CHARS} + 1:(i + 1) * {chunking.MAX_CHARS}] as text, '' as path, 0 as heading_level, 1 as start_line, 1 as end_line, i * {chunking.MAX_CHARS} as char_start, "
+    f"least((i + 1) * {chunking.MAX_CHARS}, length(t)) as char_end, i as ordinal from solid, unnest(range((length(t) + {chunking.MAX_CHARS} - 1) // {chunking.MAX_CHARS})) u(i)), "
+    f"tail as (select source_file, stem, 'Part' as section, '# Part' || chr(10) || chr(10) || '- short' as text, 'Part' as path, 1 as heading_level, 3 as start_line, 5 as end_line, length(t) + 2 as char_start, length(t) + 17 as char_end, "
+    f"(length(t) + {chunking.MAX_CHARS} - 1) // {chunking.MAX_CHARS} as ordinal from solid), rows as (select * from long union all select * from tail) "
+    "select stem || '-' || printf('%04d', ordinal) || '-' || left(sha256(source_file || chr(0) || section || chr(0) || ordinal || chr(0) || text), 12) as chunk_id, source_file, section, text, path, heading_level, start_line, end_line, char_start, char_end, ordinal from rows"
+)
+def chunked_lines(spark, sf_dir):
+    """Chunks of lines without a place to cut, and of a section with a heading: pieces, offsets, lines and ids."""
+    cut = chunking.chunk_documents(solid_files(spark, sf_dir))
+    whole = [F.col(c).cast("long").alias(c) for c in ("heading_level", "start_line", "end_line", "char_start", "char_end", "ordinal")]
+    return cut.select("chunk_id", "source_file", "section", "text", F.array_join("heading_path", " > ").alias("path"), *whole)
+
+
+@query(
+    "with a as (select doc_id, coalesce(nullif(left(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), 30), ''), 'x') as a from documents) "
+    "select doc_id, unnest(range(6)) as n, unnest(['Fact ' || a || '.', 'Next ' || a || ' 9.11.', 'bullet ' || a || ' goes on', 'k: ' || a || '; z', 'It is ' || a || '.', 'So it is.']) as text, "
+    "unnest(['', '', '', '', 'What is ' || a || '?', '']) as prompt, unnest([false, false, true, false, false, false]) as is_list_item from a"
+)
+def stated_units(spark, sf_dir):
+    """Statements of files that have one of each kind of line, with words of each document in them."""
+    a = F.coalesce(F.expr("nullif(left(regexp_replace(lower(coalesce(text, '')), '[^a-z]', ''), 30), '')"), F.lit("x"))
+    front = F.when(F.col("doc_id") % 2 == 0, "---\ncategory: x\n---\n").otherwise("")
+    parts = ["# H\n\nFact ", a, ". Next ", a, " 9.11.\n\n- bullet **", a, "**\n  goes on\n\n| Name | Value |\n|---|:-:|\n| k | [", a, "](http://x) | `z` |\n\n**What is ", a, "?**\nIt is ", a, ". So it is.\n"]
+    text = F.concat(front, *(F.lit(p) if isinstance(p, str) else p for p in parts))
+    units = evidence.with_evidence_units(table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))).select("doc_id", F.posexplode("units").alias("n", "u"))
+    return units.select("doc_id", F.col("n").cast("long").alias("n"), "u.text", F.coalesce("u.prompt", F.lit("")).alias("prompt"), "u.is_list_item")
+
+
+_CUT = "regexp_replace(left(text, 320), ' [^ ]*$', '')"
+
+
+@query(
+    f"with cut as (select doc_id, case when length(text) <= 320 then text else regexp_replace({_CUT}, '[ ,;:]+$', '') || '...' end as clipped from (select doc_id, coalesce(text, '') as text from documents)) "
+    "select doc_id, clipped, case when regexp_matches(clipped, '[.!?]$') then clipped else clipped || '.' end as sentence from cut"
+)
+def clipped_sentences(spark, sf_dir):
+    """Every document cut to a statement's length, and as a sentence."""
+    cut = table(spark, sf_dir, "documents").select("doc_id", T.clip(F.coalesce("text", F.lit(""))).alias("clipped"))
+    return cut.withColumn("sentence", T.as_sentence(F.col("clipped")))
+
+
+@query(f"with {MARKED_SQL} select message_id, length(text) >= 2 and not ({_sql_any(T.DIRECTIVES)}) and not ({_sql_any(T.META_RULES)}) and len({T.sql_content_terms('text')}) > 0 as answerable from messages")
+def answerable_messages(spark, sf_dir):
+    """Messages that could be evidence."""
+    return marked_messages(spark, sf_dir).select("message_id", T.is_answerable(F.col("text")).alias("answerable"))
+
+
+_DRESSED = "'**' || doc_id || '**  [' || coalesce(left(text, 40), '') || '](http://x.y/' || doc_id || ') _`' || coalesce(source, '') || '`_ '"
+
+
+@query(
+    f"with lines as (select doc_id, {_DRESSED} as line from documents) select doc_id, "
+    "trim(regexp_replace(regexp_replace(regexp_replace(line, '\\*{1,3}|_{1,3}|`+', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '\\s{2,}', ' ', 'g')) as line from lines"
+)
+def clean_lines(spark, sf_dir):
+    """Lines with emphasis, a link and code around the beginning of each document, without them."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_markdown(F.expr(_DRESSED)).alias("line"))
+
+
+_LETTERS = "'q' || left(regexp_replace(lower(coalesce(text, '')), '[^a-z]', ''{0}), 12)"
+
+
+@query(f"with a as (select doc_id, {_LETTERS.format(chr(44) + chr(39) + 'g' + chr(39))} as a from documents) select doc_id as qid, 'alpha' || a || ' bravo' || a || ' gamma' || a || ' delta' || a || '|alpha' || a || ' lima' || a || ' oscar' || a || ' tango' || a as kept from a")
+def kept_statements(spark, sf_dir):
+    """Of five statements of words of each document the two that repeat nothing: others are equal, share most words, or say most of a shorter one."""
+    a = table(spark, sf_dir, "documents").select("doc_id", F.expr(_LETTERS.format("")).alias("a"))
+    forms = ("alpha bravo gamma delta", "Alpha, BRAVO gamma: delta!", "alpha bravo gamma other", "alpha lima oscar tango", "limas oscars tangos uniform victor whiskey yankee")
+    said = F.array(*(F.concat_ws(" ", *(F.concat(F.lit(w.rstrip(",:!s") if k == 4 else w.rstrip(",:!")), F.upper("a") if w.isupper() else F.col("a"), F.lit("s" if k == 4 and w.endswith("s") else "")) for w in f.split())) for k, f in enumerate(forms)))
+    rows = a.select(F.col("doc_id").alias("qid"), F.posexplode(said).alias("rank", "statement"))
+    return selection.without_repeats(rows, 5).select("qid", F.array_join("kept", "|").alias("kept"))
+
+
+@query(f"select user_id as qid, event_id from events qualify value >= {selection.SCORE_FLOOR} * max(value) over (partition by user_id)")
+def relative_floor(spark, sf_dir):
+    """Events of at least a share of their user's largest value."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("qid"), "event_id", F.col("value").alias("peak"))
+    return selection.above_floor(rows).select("qid", "event_id")
