@@ -23,6 +23,24 @@ def misses_owner(subjects: DataFrame, hits: DataFrame, chunks: DataFrame) -> Dat
     return rows.select("qid", F.coalesce("found", F.lit(False)).alias("found"), (~F.col("owners") | F.coalesce("owned", F.lit(False))).alias("owned"))
 
 
+def searches_again(subjects: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Questions that search their files again: nothing of what owns the answer was found, and no word can reach it."""
+    termless = F.size(T.content_terms(F.col("message"))) == 0
+    missed = subjects.join(misses_owner(subjects, hits, chunks), "qid")
+    return missed.filter((~F.col("found") | ~F.col("owned")) & (termless | ~F.col("lexical_support")) & F.col("documents"))
+
+
+def used_sources(hits: DataFrame, citations: DataFrame) -> DataFrame:
+    """(qid, sources): the hits (qid, rank, position, source_file, section, similarity) that a reply cites, in rank order; all where none can be matched."""
+    met = hits.join(citations.select("qid", "citations"), "qid")
+    cited = F.array_contains("citations", T.citation(F.col("source_file"), F.col("section")))
+    source = F.struct("rank", "position", "source_file", "section", "similarity")
+    listed = met.groupBy("qid").agg(F.sort_array(F.collect_list(F.when(cited, source))).alias("_cited"), F.sort_array(F.collect_list(source)).alias("_all"))
+    used = F.when(F.size("_cited") > 0, F.col("_cited")).otherwise(F.col("_all"))
+    fields = ("position", "source_file", "section", "similarity")
+    return listed.select("qid", F.transform(used, lambda s: F.struct(*(s[c].alias(c) for c in fields))).cast(SOURCE).alias("sources"))
+
+
 def retrieve_routed(subjects: DataFrame, chunks: DataFrame, vectors: DataFrame, top_k: int = dense.TOP_K) -> DataFrame:
     """Hits of routed questions (with support) among chunks with ``keys``.
 
@@ -34,10 +52,8 @@ def retrieve_routed(subjects: DataFrame, chunks: DataFrame, vectors: DataFrame,
     scoped = subjects.select("qid", "message", "vec", profile.scope_keys().alias("keys"))
     first = fusion.retrieve(indexed, vectors, scoped.filter("keys is null"), top_k).unionByName(fusion.retrieve_scoped(indexed, vectors, scoped.filter("keys is not null"), top_k))
     first = stored(fusion.expand_siblings(stored(first, "first-hits"), chunks), "first-context")
-    state = misses_owner(subjects, first, chunks)
-    termless = F.size(T.content_terms(F.col("message"))) == 0
-    again = subjects.join(state, "qid").filter((~F.col("found") | ~F.col("owned")) & (termless | ~F.col("lexical_support")) & F.col("documents"))
-    again = stored(again.select("qid", "message", "vec", profile.allowed_keys().alias("keys")), "fallback-questions")
+    again = searches_again(subjects, first, chunks).select("qid", "message", "vec", profile.allowed_keys().alias("keys"))
+    again = stored(again, "fallback-questions")
     second = stored(fusion.retrieve_scoped(indexed, vectors, again, top_k, relax_threshold=True), "fallback-hits")
     second = stored(fusion.expand_siblings(second, chunks), "fallback-context")
     return first.join(second.select("qid").distinct(), "qid", "left_anti").unionByName(second)
@@ -66,12 +82,7 @@ def chat(
     held = chunks.join(hits.select("position").distinct(), "position", "left_semi")
     composed = composing.compose(supported, hits, stored(composing.described(held, files), "described-chunks"), lexical.document_frequencies(indexed), subject.names[0] if subject.names else None)
     composed = stored(composed, "composed")
-    cites = hits.join(chunks.select("position", "section"), "position").join(composed.filter("response is not null").select("qid", "citations"), "qid")
-    cites = cites.withColumn("_used", F.array_contains("citations", T.citation(F.col("source_file"), F.col("section"))))
-    source = F.struct("rank", "position", "source_file", "section", "similarity")
-    listed = cites.groupBy("qid").agg(F.sort_array(F.collect_list(F.when(F.col("_used"), source))).alias("_cited"), F.sort_array(F.collect_list(source)).alias("_all"))
-    used = F.transform(F.when(F.size("_cited") > 0, F.col("_cited")).otherwise(F.col("_all")), lambda s: F.struct(s["position"].alias("position"), s["source_file"].alias("source_file"), s["section"].alias("section"), s["similarity"].alias("similarity")))
-    listed = listed.select("qid", used.cast(SOURCE).alias("sources"))
+    listed = used_sources(hits.join(chunks.select("position", "section"), "position"), composed.filter("response is not null"))
     rows = judged.join(composed, "qid", "left").join(listed, "qid", "left")
     return rows.select(*_reply(replies))
 

@@ -13,7 +13,7 @@ from ..functions import routing_values as V
 from ..functions import text as T
 from ..operators import chunking, context, dense, embedder, evidence, gates, profile, prompts, responses, routing, security, selection
 from ..sources.stored import stored
-from . import evaluation
+from . import chat, evaluation
 from .catalogue import MARKED_SQL, _sql_any, _sql_canonical, _sql_neutralised, marked_messages, query, table
 
 #: The invented subject of the written questions.
@@ -626,3 +626,45 @@ def relative_floor(spark, sf_dir):
     """Events of at least a share of their user's largest value."""
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("qid"), "event_id", F.col("value").alias("peak"))
     return selection.above_floor(rows).select("qid", "event_id")
+
+
+# -- after retrieval ---------------------------------------------------------------------------------------
+
+_FOUND = "placed join chunks using (position) where (qid % 3 + 3) % 3 <> 0"
+
+
+@query(
+    f"with {BLOCKS_SQL}, met_hits as materialized (select qid, domain, source_file from {_FOUND}), seen as (select qid, bool_or(list_contains(owners, domain) or list_contains(owners, 'file:' || source_file)) as owned from met_hits join keyed_subjects using (qid) group by qid) "
+    f"select qid, seen.qid is not null as found, not s.owners or coalesce(seen.owned, false) as owned, (seen.qid is null or not (not s.owners or coalesce(seen.owned, false))) and (len({T.sql_content_terms('message')}) = 0 or not lexical_support) and documents as again "
+    "from support s join asked using (qid) left join seen using (qid)"
+)
+def fallback_questions(spark, sf_dir):
+    """Whether retrieval found anything, anything of what owns the answer, and whether a question searches its files again; every third question found nothing."""
+    subjects = supported(spark, sf_dir)
+    asked, described = asked_blocks(spark, sf_dir)
+    keyed = stored(described.select("position", "keys"), "keys")
+    hits = asked.filter(F.pmod("qid", F.lit(3)) != 0).join(keyed.select("position"), "position", "left_semi")
+    again = chat.searches_again(subjects, hits, keyed).select("qid", F.lit(True).alias("again"))
+    return chat.misses_owner(subjects, hits, keyed).join(again, "qid", "left").withColumn("again", F.coalesce("again", F.lit(False)))
+
+
+@query(
+    "with n as (select count(*) as n from documents), hits as (select item_id as qid, r as rank, (item_id * 7 + r * 13) % n as position, r / 8.0 as similarity from benchmark, range(4) t(r), n), "
+    "held as (select hits.*, source as source_file, lang as section, item_id % 3 <> 0 and r2 as cited from (select *, qid as item_id, rank in (1, 3) as r2 from hits) hits join documents on doc_id = position), "
+    "kept as (select * from held where cited or not (select bool_or(h.cited) from held h where h.qid = held.qid)) "
+    "select qid, string_agg(position || ':' || source_file || ':' || section, '|' order by rank) as sources, string_agg(cast(similarity as decimal(6, 3)), ',' order by rank) as scores from kept group by qid"
+)
+def cited_sources(spark, sf_dir):
+    """Sources and scores of replies that cite two of their four hits, or, for every third, what was not retrieved."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"), F.col("source").alias("source_file"), F.col("lang").alias("section"))
+    n = docs.count()
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda r: (F.col("item_id") * 7 + r * 13) % n)).alias("rank", "position"))
+    hits = items.join(docs, "position").withColumn("similarity", F.col("rank") / 8.0)
+    # a citation names one hit, so files carry their position
+    hits = hits.withColumn("source_file", F.concat("source_file", F.lit("/"), F.col("position").cast("string")))
+    own = F.when((F.col("qid") % 3 != 0) & F.col("rank").isin(1, 3), T.citation(F.col("source_file"), F.col("section")))
+    cites = hits.groupBy("qid").agg(F.collect_list(own).alias("citations"))
+    used = chat.used_sources(hits, cites)
+    shown = F.transform("sources", lambda s: F.concat_ws(":", s["position"].cast("string"), F.substring_index(s["source_file"], "/", 1), s["section"]))
+    scores = F.transform("sources", lambda s: s["similarity"].cast("decimal(6,3)").cast("string"))
+    return used.select("qid", F.array_join(shown, "|").alias("sources"), F.array_join(scores, ",").alias("scores"))
