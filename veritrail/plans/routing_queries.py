@@ -23,8 +23,8 @@ ASKED = (
     "What is Noor's bank balance?", "What does he do for fun and for balance?", "What is his employment history?", "Give me his history", "Which university does he study at?", "Where is she studying, and which degree?",
     "Can someone hire Noor?", "What is he looking for?", "What are his goals?", "What is Noor focused on?", "Is he interested in design?", "What is he working towards?", "How can I reach him by email?",
     "List all his certifications", "Which platform issued his certificates?", "What is his salary expectation?", "Noor?", "Tell me about Noor", "Summarise his education history", "Explain the architecture",
-    "What are his hobbies outside of work?", "Where does he live?", "What is the story of his roots?", "Can he help with python?", "", "   ", "???", "Tell me about a project called GlassHouse", "Tell me about ResumeForge",
-    "What is src 1 about?", "Describe Paper Crane", "Which AWS services does Noor know?", "Introduce Noor", "Any chance you could walk me through it?", "What is Noor's certificate ID?", "Is Movie-Mind fast?", "What does he work with?", "Can I work with him on his plans?", "What about Paper crane and papercrane2?",
+    "What are his hobbies outside of work?", "Where does he live?", "What is the story of his roots?", "Can he help with python?", "", "   ", "???", "Tell me about a project called GlassHouse", "Tell me about SaltHarbour",
+    "What is src 1 about?", "Describe Paper Crane", "Which AWS services does Noor know?", "Introduce Noor", "Any chance you could walk me through it?", "What is Noor's certificate ID?", "Is Tin-Lantern fast?", "What does he work with?", "Can I work with him on his plans?", "What about Paper crane and papercrane2?",
 )
 
 
@@ -158,7 +158,7 @@ def routing_terms(spark, sf_dir):
 
 CATEGORIES = [*V.DOMAIN_CATEGORY.values(), V.CROSS_CUTTING, ""]
 #: Titles of the first project files, beside those that are made of an id.
-TITLES = ("Paper Crane", "papercrane2", "Movie Mind", "Resume Forge")
+TITLES = ("Paper Crane", "papercrane2", "Tin Lantern", "Salt Harbour")
 
 
 def corpus_files(spark, sf_dir) -> DataFrame:
