@@ -199,6 +199,45 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def _sql_field(column: str) -> str:
+    return f"coalesce(strlen({column}::varchar) || ':' || {column}::varchar, '-')"
+
+
+#: The unsigned crc32 of an ASCII text, bit by bit.
+_SQL_CRC32 = (
+    "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({0}, ''), lambda h: ascii(h)::bigint)), "
+    "lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+)
+_LOWERED = f"case when {_SQL_CRC32.format('doc_id::varchar')} % 3 = 0 then translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}') else text end"
+
+
+def _sql_tree(leaves: str, up: str, steps: str) -> str:
+    """CTEs with all nodes over leaves (tree, i, n, digest), and each one's siblings before and after it."""
+    return f"""{up}(tree, level, i, n, digest) as (select tree, 0, i, n, digest from {leaves} union all
+  select tree, level + 1, i // 8, any_value((n + 7) // 8), sha256(string_agg(digest, '' order by i)) from {up} where n > 1 group by tree, level, i // 8),
+{steps} as (select a.tree, a.level, a.i, coalesce(string_agg(b.digest, '' order by b.i) filter (b.i < a.i), '') as before, coalesce(string_agg(b.digest, '' order by b.i) filter (b.i > a.i), '') as after
+  from {up} a join {up} b on a.tree = b.tree and a.level = b.level and a.i // 8 = b.i // 8 where a.n > 1 group by all)"""
+
+
+OP12_SQL = f"""
+with recursive rows as (
+  select doc_id, coalesce('=' || lang, '') as tree, {' || '.join(map(_sql_field, ('doc_id', 'source', 'lang', 'n_chars', 'text')))} as content,
+    {' || '.join(map(_sql_field, ('doc_id', 'source', 'lang', 'n_chars')))} || {_sql_field(f'({_LOWERED})')} as changed from documents
+), leaves as (
+  select doc_id, tree, sha256(content) as digest, sha256(changed) as other, row_number() over (partition by tree order by doc_id nulls first) - 1 as i, count(*) over (partition by tree) as n from rows
+), {_sql_tree('leaves', 'up', 'steps')},
+subroots as (select '' as tree, tree as own, row_number() over (order by tree) - 1 as i, count(*) over () as n, digest from up where n = 1),
+{_sql_tree('subroots', 'above', 'last')},
+walk(doc_id, tree, leaf, level, i, proof, folded) as (select doc_id, tree, digest, 0, i, '', other from leaves union all
+  select w.doc_id, w.tree, w.leaf, w.level + 1, w.i // 8, proof || before || after, sha256(before || folded || after) from walk w join steps s on s.tree = w.tree and s.level = w.level and s.i = w.i),
+climbed as (select w.doc_id, leaf, s.digest as subroot, s.i, proof, folded from walk w join subroots s on s.own = w.tree where not exists (select 1 from steps t where t.tree = w.tree and t.level = w.level and t.i = w.i)),
+finish(doc_id, leaf, subroot, level, i, proof, folded) as (select doc_id, leaf, subroot, 0, i, proof, folded from climbed union all
+  select w.doc_id, leaf, subroot, w.level + 1, w.i // 8, proof || before || after, sha256(before || folded || after) from finish w join last s on s.level = w.level and s.i = w.i)
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, folded as folded_root, folded = root as verified
+from finish w, (select digest as root from above where n = 1) where not exists (select 1 from last t where t.level = w.level and t.i = w.i)
+"""
+
+
 def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = stored(delta_lloyd.kept_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")), "delta-kept")
     books = delta_lloyd.train(kept)
@@ -208,10 +247,33 @@ def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", F.lit(hashlib.sha256(books.text().encode()).hexdigest()).alias("codebooks_sha256"))
 
 
+def _sql_rounds() -> str:
+    """CTEs of each round's assignments and codebooks, and the last assignments."""
+    gap = "list_sum(list_transform(range(1, len(v) + 1), lambda j: (v[j] - c[j]) * (v[j] - c[j])))::bigint"
+    out = ["book0 as materialized (select p, row_number() over (partition by p order by vec_id) - 1 as e, v as c from parts qualify e < 16)"]
+    for r in range(delta_lloyd.ROUNDS + 1):
+        out.append(f"given{r} as materialized (select vec_id, p, v, e, {gap} as gap from parts join book{r} using (p) qualify row_number() over (partition by vec_id, p order by gap, e) = 1)")
+        if r < delta_lloyd.ROUNDS:
+            out.append(f"sums{r} as (select p, e, j, floor(sum(v[j]) / count(*))::bigint as x from given{r}, range(1, 9) t(j) group by p, e, j), means{r} as (select p, e, list(x order by j) as c from sums{r} group by p, e)")
+            out.append(f"book{r + 1} as materialized (select p, e, coalesce(m.c, b.c) as c from book{r} b left join means{r} m using (p, e))")
+    return ", ".join(out)
+
+
+#: For vectors of 64 components.
+OP13_SQL = f"""
+with kept as (select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as q from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as materialized (select vec_id, p, q[p * 8 + 1:p * 8 + 8] as v from kept, range(8) t(p)), {_sql_rounds()},
+coded as (select vec_id, string_agg(printf('%02x', e), '' order by p) as code, sum(gap)::bigint as error from given{delta_lloyd.ROUNDS} group by vec_id)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, (select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) from book{delta_lloyd.ROUNDS}) as codebooks_sha256
+from coded join kept using (vec_id)
+"""
+
+
 def queries() -> dict:
     named = (op1_toxicity, op2_near_dedup, op3_token_pack, op4_url_filter, op5_sentencepiece, op6_chat_format, op7_license_scan, op8_language, op9_telephony, op10_decontaminate, op11_pii, op12_merkle, op13_delta_lloyd)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op6_chat_format": OP6_SQL, "op7_license_scan": OP7_SQL}
+    return {"op4_url_filter": OP4_SQL, "op6_chat_format": OP6_SQL, "op7_license_scan": OP7_SQL, "op12_merkle": OP12_SQL, "op13_delta_lloyd": OP13_SQL}
