@@ -101,3 +101,10 @@ def test_rounds_move_no_vectors(spark, tmp_path):
         before = put(delta_lloyd._assigned(held, None, book))
         plan = delta_lloyd._assigned(held, before, book)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan
+
+
+def test_sql_gives_the_same_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    assert sorted(con.execute(f"select vec_id, code, error, label_error, codebooks_sha256 from ({queries.OP13_SQL})").fetchall(), key=repr) == asked(spark, sf)

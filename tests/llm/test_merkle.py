@@ -105,3 +105,10 @@ def test_scattered_leaves_resolve_by_frontiers(spark):
     found = {(r.level, r.i): r.digest for r in merkle.parents(df, 700).collect()}
     levels = climb([sha(str(i)) for i in range(700)])
     assert found == {(k, i): d for k, level in enumerate(levels) if k for i, d in enumerate(level)}
+
+
+def test_sql_gives_the_same_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    assert sorted(con.execute(f"select doc_id, leaf, subroot, root, proof_sha256, folded_root, verified from ({queries.OP12_SQL})").fetchall(), key=repr) == asked(queries.op12_merkle(spark, sf))
