@@ -15,6 +15,8 @@ reported; rows with a null id are reported together under the null id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,12 @@ from .kneser_ney import normal_words
 from .shared import BROADCAST_ROWS, stored
 
 DICE = 0.8
+#: Words that a text is searched for before it is cut into units; with more of them every text is cut.
+ANCHORS = 500
+#: From so many letters on a word alone is searched for.
+LONG_WORD = 5
+#: What words are made of, as in ``normal_words``.
+LETTERS = r"\p{L}\p{M}\p{N}"
 #: Public licence statements and notices, as (licence, text).
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -86,6 +94,21 @@ def _in_runs(near: DataFrame, threshold: float) -> DataFrame:
     return runs.select("doc_id", "license", F.concat(F.lit("run "), F.col("i")).alias("unit"), dice.alias("dice")).filter(F.col("dice") >= threshold)
 
 
+def _anchors(given: DataFrame, threshold: float) -> tuple[list[str], list[str]]:
+    """Words, and pairs of short words, of which every text that resembles a template, or holds a run that does, has one at least.
+
+    A match shares ``need`` of a template's distinct bigrams, so it has one of any
+    ``nt - need + 1`` of them; taken are those whose longer word is longest.  That word
+    stands for the bigram unless it is short, when both do, as a pattern.
+    """
+    first, second = (lambda i: F.element_at("words", i)), (lambda i: F.element_at("words", i + 1))
+    longer = lambda i: F.when(F.length(first(i)) >= F.length(second(i)), first(i)).otherwise(second(i))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.struct(F.length(longer(i)).alias("n"), longer(i).alias("w"), F.concat(first(i), F.lit(f"[^{LETTERS}]+"), second(i)).alias("b")))
+    ranked = given.select(F.slice(F.sort_array(F.array_distinct(pairs), asc=False), 1, F.col("nt") - F.col("need") + 1).alias("r")).select(F.inline("r")).distinct()
+    taken = ranked.collect()  # at most the bigrams of the templates
+    return sorted({r["w"] for r in taken if r["n"] >= LONG_WORD}), sorted({r["b"] for r in taken if r["n"] < LONG_WORD})
+
+
 def scan_licenses(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = DICE) -> DataFrame:
     """(doc_id, license, dice, units) of every licence whose template some unit of a text resembles, else some run of words.
 
@@ -94,16 +117,23 @@ def scan_licenses(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", tex
     broadcast while they are at most ``BROADCAST_ROWS`` rows.
     """
     given = known.dropna().select("license", F.split(normal_words(F.col("template")), " ").alias("words"))
-    given = given.select("license", F.size("words").alias("nw"), _bigrams("words").alias("t")).withColumn("nt", F.size("t")).filter("nt > 0")
+    given = given.select("license", "words", F.size("words").alias("nw"), _bigrams("words").alias("t")).withColumn("nt", F.size("t")).filter("nt > 0")
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     sized = given.withColumn("n", F.explode(F.sequence(F.greatest(F.lit(1), F.floor(F.col("nt") * low).cast("int")), F.ceil(F.col("nt") * high).cast("int"))))
     given = given.withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("nt") * low - 1e-9).cast("int")))
+    given = stored(given, "licence-templates")
+    long, short = _anchors(given, threshold)
     bounds = sized.agg(F.min("n"), F.max("n"), F.count(F.lit(1))).first()
     common = given.agg(F.array_join(F.array_distinct(F.flatten(F.collect_list("t"))), ","), F.min("need")).first()
     # size 0 stands for a whole text that holds enough of the templates' bigrams to be looked at in runs
     keys = sized.select("license", "t", "nt", F.lit(None).cast("int").alias("size"), F.lit(None).cast("int").alias("need"), "n")
     keys = keys.unionByName(given.select("license", "t", "nt", (F.col("nw") - 1).alias("size"), "need", F.lit(0).alias("n")))
-    parts = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(units(F.col(text))).alias("pos", "unit")).filter(F.length("unit") > 2 * (bounds[0] or 0))
+    likely = F.lit(True)
+    if len(long) + len(short) <= ANCHORS:  # in a lambda, so that a text is lowered once
+        found = lambda t: reduce(lambda a, w: a | F.contains(t, F.lit(w)), long, F.lit(False))
+        pairs = "|".join(short)
+        likely = F.exists(F.array(F.lower(F.col(text))), lambda t: found(t) | t.rlike(pairs) if short else found(t))
+    parts = docs.filter(likely).select(F.col(doc_id).alias("doc_id"), F.posexplode(units(F.col(text))).alias("pos", "unit")).filter(F.length("unit") > 2 * (bounds[0] or 0))
     words = parts.select("doc_id", "pos", "unit", F.split(normal_words(F.col("unit")), " ").alias("words")).filter(F.size("words") > (bounds[0] or 0))
     sets = words.select("doc_id", "pos", "unit", _bigrams("words").alias("u")).withColumn("own", F.coalesce(F.size("u"), F.lit(0)))
     all_of = F.split(F.lit(common[0] or "0"), ",").cast("array<bigint>")
