@@ -91,6 +91,19 @@ def test_toxicity_separates_and_takes_any_row(spark):
     assert odds[0].toxicity == odds[1].toxicity == odds[2].toxicity < odds[3].toxicity
 
 
+def test_toxicity_ranks_held_out_rows_whatever_rows_fit_it(spark):
+    docs, labels = toxic_tables(spark, 600)
+    fifth = F.floor(toxicity.fold(F.col("doc_id")) / 4) % 5 == 0
+    kept = {"no row to fit": ~fifth, "none toxic to fit": ~fifth | (F.col("toxic") == 0), "toxic rows in that fifth alone": fifth | (F.col("toxic") == 0), "a class in each part": fifth == (F.col("toxic") == 1)}
+    for case, rows in kept.items():
+        for toxic in ("toxic", "1 - toxic as toxic"):
+            given = labels.filter(rows).selectExpr("doc_id", toxic)
+            scored = toxicity.with_toxicity(docs, toxicity.fit(docs, given), output="score").join(labels.selectExpr("doc_id", toxic), "doc_id")
+            held = scored.filter(toxicity.fold(F.col("doc_id")) % 4 == 2).select("toxic", "score").collect()
+            low, high = (np.array([r.score for r in held if r.toxic == c]) for c in (0, 1))
+            assert (high[:, None] > low).mean() > 0.95, (case, toxic)
+
+
 def test_toxicity_without_rows(spark):
     docs, labels = toxic_tables(spark, 8)
     assert toxicity.fit(docs, labels.limit(0)) is None

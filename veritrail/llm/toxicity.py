@@ -3,7 +3,9 @@
 Two character models, of toxic and of ordinary text, share their low-order backoff
 counts, so an expression which neither class has seen often scores alike under both.  A
 document is judged by its length-normalised log-likelihood ratio and by how densely its
-words' own ratios pass fixed marks; a logistic regression turns these into a score.
+words' own ratios pass fixed marks; a logistic regression turns these into a score.  Its
+ridge pulls towards the evidence for the rarer class, which decides where few labelled
+documents fit it.
 
 Defined results: a null or empty text has no words and scores 0; rows with a null id or
 label teach nothing; a document labelled twice counts by its higher label, and repeated
@@ -30,6 +32,10 @@ EXCESS = (1.0, 2.0, 3.0)
 #: At most so many labelled documents fit the logistic regression; the language models count all others.
 CALIBRATION_ROWS = 20_000
 RIDGE = 3.0
+#: Features, and the places of the mass past the middle mark for the upper and the lower class.
+WIDTH = 2 * len(MARKS) + len(EXCESS) + 4
+UPPER, LOWER = 2 * len(MARKS) + 1, WIDTH - 1
+_NO_EXCESS = np.log(0.005)
 
 
 @dataclass
@@ -66,22 +72,29 @@ def features(scorer: kn.DocumentScorer, column: pa.Array) -> tuple[np.ndarray, n
     out.append(total(ratio) / np.maximum(characters, 1))
     out.append(total(np.clip(ratio, -1, 6)) / np.maximum(count, 1))
     out.append(np.log(np.maximum(count, 1)))
+    out.append(np.log(total(np.maximum(-ratio - EXCESS[1], 0)) / (count + 20) + 0.005))
     return np.stack(out, 1), seg.per_row
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ridge logistic regression by Newton steps: means, scales and weights with the intercept last."""
+def prior(share: float) -> np.ndarray:
+    """Weights before any row is seen, with the intercept last: of evidence for either class, the more the rarer it is."""
+    w = np.zeros(WIDTH + 1)
+    w[UPPER], w[LOWER], w[-1] = 1 - share, -share, np.log((share + 1e-6) / (1 - share + 1e-6))
+    return w
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logistic regression by Newton steps with a ridge towards ``prior``: means, scales and weights with the intercept last."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
-    w = np.zeros(z.shape[1])
-    w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
-    if 0 < y.sum() < len(y):
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-z @ w))
-            step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + RIDGE * np.eye(len(w)), z.T @ (p - y) + RIDGE * w)
-            w -= step
-            if np.abs(step).max() < 1e-8:
-                break
+    w = prior.copy()
+    towards = np.r_[prior[:-1], 0.0]
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + RIDGE * np.eye(len(w)), z.T @ (p - y) + RIDGE * (w - towards))
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
     return mean, scale, w
 
 
@@ -94,8 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = 5, shared: int = 3, has
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), without ids whose crc32 mod 4 is 2.
 
     Of a fifth of the labelled documents by hash the first ``calibration_rows`` fit the
-    regression; all others are counted.  The labels are broadcast only while they have at
-    most ``BROADCAST_ROWS`` rows; beyond that Spark shuffles the join.
+    regression; all others are counted, and those too where neither part has both classes.
+    The labels are broadcast only while they have at most ``BROADCAST_ROWS`` rows; beyond that Spark shuffles the join.
     """
     crc = fold(F.col("doc_id"))
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("cls")).dropna()
@@ -110,6 +123,9 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = 5, shared: int = 3, has
     if known.isEmpty():
         return None
     counted = known.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")  # at most calibration_rows
+    n, drawn = ({r["cls"]: r["count"] for r in part.groupBy("cls").count().collect()} for part in (counted, sample))
+    if len(n) < 2 and len(drawn) < 2:
+        counted, sample = known, sample.limit(0)
     counts = stored(kn.word_counts(labelled(counted)), "toxicity-words")
     model = kn.train(counts, order, hash_bits, 2, shared)
     shared_model = kn.shared_model(docs.sparkSession, model)
@@ -120,13 +136,14 @@ def fit(docs: DataFrame, labels: DataFrame, order: int = 5, shared: int = 3, has
             yield pa.record_batch([batch.column("cls"), pa.array(list(x), pa.list_(pa.float64()))], names=["cls", "x"])
 
     rows = labelled(sample).select("cls", "norm").mapInArrow(measure, "cls int, x array<double>").toArrow()
-    if not rows.num_rows:
-        share = counts.groupBy().agg(F.sum(F.when(F.col("cls") == 1, F.col("n")).otherwise(0)) / F.sum("n")).first()[0]
-        width = 2 * len(MARKS) + len(EXCESS) + 3
-        return ToxicityModel(model, *np.zeros((3, width)), np.ones(width), np.r_[np.zeros(width), np.log(((share or 0) + 1e-6) / (1 - (share or 0) + 1e-6))])
+    expected = prior((n.get(1, 0) + drawn.get(1, 0)) / (sum(n.values()) + sum(drawn.values())))
+    if len(rows.column("cls").unique()) < 2:
+        mean = np.zeros(WIDTH)
+        mean[[UPPER, LOWER]] = _NO_EXCESS
+        return ToxicityModel(model, np.full(WIDTH, -np.inf), np.full(WIDTH, np.inf), mean, np.ones(WIDTH), expected)
     order_ = np.lexsort(np.stack(rows.column("x").to_pylist()).T)  # sums of floats, in an order that the rows fix
     x = np.stack(rows.column("x").to_pylist())[order_]
-    return ToxicityModel(model, x.min(0), x.max(0), *fit_logistic(x, np.asarray(rows.column("cls"))[order_].astype(float)))
+    return ToxicityModel(model, x.min(0), x.max(0), *fit_logistic(x, np.asarray(rows.column("cls"))[order_].astype(float), expected))
 
 
 def with_toxicity(df: DataFrame, fitted: ToxicityModel | None, text: str = "text", output: str = "toxicity") -> DataFrame:
