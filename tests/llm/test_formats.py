@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from veritrail.llm import chat_format, license_scan, piece_model, queries, telephony, token_pack, url_filter
+from veritrail.llm import textbytes as tb
 
 ODD = ["", " ", "  ", "a  b", "   lead", "trail  ", "\n\n", "tab\tx", "日本語のテキスト", "emoji 😀 x", "a▁b", "\0nul", "x" * 50, "<s> </s> <0x0A>", "é" * 9, "....,,,;;",
        "1234567 89", "  \n  x", "ﬁ ligature", "a" * 23, "========", "----    ----", "\uffff y", "a\u00a0 b", "a\u00a0  b", "<|endoftext|> z", "q<|endoftext|>", "don't  we'll", "word " * 20000]
@@ -194,3 +195,19 @@ def test_resampling():
     pcm = np.array([0, 10, 20, -5], np.int16)
     assert telephony.resample(pcm, 8000, 16000).tolist() == [0, 5, 10, 15, 20, 8, -5, -5]
     assert telephony.resample(pcm, 8000, 4000).tolist() == [0, 20]
+
+
+def test_words_and_marks_are_encoded_apart_with_the_ids_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, (parts, ends) = Tokenizer.from_file(path), token_pack._encoder(path)
+    said = "".join(f"stone{mark} " for mark in ".,;:!?)]}*#%$&/-_=+~") * 3
+    seg = token_pack.pieces(*tb.text_bytes(pa.array([said])), ends)
+    assert set(seg.distinct()[1]) >= {b" stone", b","} and len(seg.distinct()[1]) == 23
+    rng = random.Random(5)
+    parts_of = ["a", "It", "don", "'", "'s", "'ll", "''", '"', "<|endoftext|>", "<|", "|>", "<", "|", "endoftext", " ", "  ", "\n", " ", "é", "é", "7", "x9", "_", "-", "...", "字", "\u0003", "A", "\t"]
+    texts = ["".join(rng.choice(parts_of) for _ in range(rng.randint(1, 30))) for _ in range(4000)]
+    ids, lengths = parts.of(token_pack.pieces(*tb.text_bytes(pa.array(texts)), ends))
+    wanted = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert lengths.tolist() == [len(w) for w in wanted] and ids.tolist() == [i for w in wanted for i in w]

@@ -8,7 +8,8 @@ whole to any store; run r of shard s holds smaller document ids than run r + 1,
 s smaller ones than shard s + 1.
 
 Texts are cut where a non-space is followed by white space, which every pre-tokenizer of
-this kind takes for a boundary, so equal pieces of text are encoded once by a worker.
+this kind takes for a boundary, and, where the file's own rules allow it, between letters
+and marks, so equal pieces of text are encoded once by a worker.
 
 Defined results: a null or empty text has the end id alone; repeated ids are kept, ordered
 by text; a null id sorts first; an empty table has no runs.
@@ -16,11 +17,12 @@ by text; a null id sorts first; an empty table has no runs.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ from .shared import BROADCAST_ROWS, stored
 
 MAGIC = b"TPK1"
 BLOCK_IDS = 4096
+#: Bytes that a worker's cache of pieces may hold.
+CACHE_BYTES = 160 << 20
 _HEAD = struct.Struct("<4sBxxxIQQ")
 _NO_ID = np.iinfo(np.int64).min
 
@@ -115,22 +119,46 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> tb.Segments:
-    """Texts cut before each white space that follows a character which is none."""
+def word_ends(tokenizer: dict) -> np.ndarray | None:
+    """By two neighbouring ASCII characters, whether a byte-level pre-tokenizer's words always part there; None if its file has other rules.
+
+    A letter ends its word before any other character, and a mark but the apostrophe ends
+    its run before a letter.  No added token is cut.
+    """
+    rule, added = tokenizer.get("pre_tokenizer") or {}, tokenizer.get("added_tokens") or []
+    if rule.get("type") != "ByteLevel" or not rule.get("use_regex", True) or rule.get("add_prefix_space", True) or tokenizer.get("normalizer"):
+        return None
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+        return None
+    letter = np.array([chr(c).isalpha() for c in range(128)])
+    mark = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(128)])
+    out = letter[:, None] & mark[None, :] | (mark & (np.arange(128) != ord("'")))[:, None] & letter[None, :]
+    for t in added:
+        inside = t["content"].encode()
+        for a, b in zip(inside, inside[1:]):
+            if a < 128 and b < 128:
+                out[a, b] = False
+    return out
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray | None = None) -> tb.Segments:
+    """Texts cut before each white space that follows a character which is none, and between characters for which ``ends`` holds."""
     space = _SPACE[data]
     before = np.zeros(len(data), bool)
     before[1:] = space[1:] & ~space[:-1] & ~_other_space_ends(data)[:-1]
+    if ends is not None:
+        before[1:] |= (data[1:] < 128) & (data[:-1] < 128) & ends[data[:-1] & 127, data[1:] & 127]
     return tb.cut(data, offsets, before)
 
 
 class PieceIds:
     """Ids of texts, encoded piece by piece, each distinct piece once while it is held."""
 
-    def __init__(self, encode_pieces):
+    def __init__(self, encode_pieces, limit: int = tb.CACHE_BYTES):
         self._encode = encode_pieces
         self._pool = np.empty(1 << 16, np.uint32)
         self._used = 0
-        self._cache = tb.SegmentCache(self._make, extra=lambda: 4 * self._used)
+        self._cache = tb.SegmentCache(self._make, limit, extra=lambda: 4 * self._used)
 
     def _make(self, new: list[bytes]) -> np.ndarray:
         if not self._cache.held():
@@ -155,10 +183,10 @@ class PieceIds:
         return tb.gather_ragged(self._pool, starts, lengths), np.bincount(seg.rows, lengths, n).astype(np.int64)
 
 
-_encoders: dict[str, PieceIds] = {}
+_encoders: dict[str, tuple[PieceIds, np.ndarray | None]] = {}
 
 
-def _encoder(path: str) -> PieceIds:
+def _encoder(path: str) -> tuple[PieceIds, np.ndarray | None]:
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -168,10 +196,12 @@ def _encoder(path: str) -> PieceIds:
         def encode(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             found = [e.ids for e in tokenizer.encode_batch_fast([b.decode() for b in new], add_special_tokens=False)]
             lengths = np.fromiter(map(len, found), np.int64, len(found))
-            return np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum())), lengths
+            return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
+        with open(path, encoding="utf-8") as f:
+            ends = word_ends(json.load(f))
         _encoders.clear()
-        _encoders[path] = PieceIds(encode)
+        _encoders[path] = PieceIds(encode, CACHE_BYTES), ends
     return _encoders[path]
 
 
@@ -184,12 +214,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, runs = TaskContext.get().partitionId(), count()
-        encoder = _encoder(tokenizer)
+        encoder, ends = _encoder(tokenizer)
         for whole in batches:
             for batch in tb.slices(whole, "text"):
                 if not batch.num_rows:
                     continue
-                flat, lengths = encoder.of(pieces(*tb.text_bytes(batch.column("text"))))
+                flat, lengths = encoder.of(pieces(*tb.text_bytes(batch.column("text")), ends))
                 starts = np.concatenate([[0], np.cumsum(lengths + 1)])
                 ids = np.full(starts[-1], end_id, np.uint32)
                 inner = np.ones(len(ids), bool)
