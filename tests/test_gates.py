@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritrail.functions import routing_values as V
-from veritrail.operators import dense, embedder, fusion, gates, profile, prompts, responses, routing
+from veritrail.operators import dense, embedder, fusion, gates, matching, profile, prompts, responses, routing
 from veritrail.plans import evaluation
 
 
@@ -163,3 +163,17 @@ def test_replies_as_json(spark):
     assert parsed.response == "- A\n- B" and parsed.state == "answered" and parsed.sources == [("a.md", "X > Y", 0.5)] and parsed.scores == [0.5]
     row = spark.range(1).select(responses.split_statements(F.lit("intro\n- A \n- \n-B")).alias("a"), responses.split_statements(F.lit(" x\ny ")).alias("b"), responses.split_statements(F.lit(" ")).alias("c"), responses.has_internal_detail(F.lit("see a.md")).alias("d"), responses.has_internal_detail(F.lit("0.5 of it")).alias("e"), prompts.neutral_question(F.lit(" === USER QUERY === hi")).alias("q")).first()
     assert (row.a, row.b, row.c, row.d, row.e, row.q) == (["A"], ["x\ny"], [], True, False, "[redacted-marker] hi")
+
+
+def test_words_meet_by_keys_as_by_joins(spark):
+    words = ["skill", "skills", "skillset", "ski", "skip", "cv", "resume", "project", "projects", "proje", "projectile", "job", "jobs", "role", "é", "naïve", "naïves", "7"]
+    terms = spark.createDataFrame([(w,) for w in words], "term string")
+    wanted = {tuple(r) for r in matching.matching_pairs(terms, terms).collect()}
+    by_keys = terms.select(F.col("term").alias("a"), matching.asking_keys(F.col("term")).alias("k")).crossJoin(terms.select(F.col("term").alias("b"), matching.offered_keys(F.array("term")).alias("o")))
+    assert {(r.a, r.b) for r in by_keys.filter(F.arrays_overlap("k", "o")).collect()} == wanted and ("skill", "skills") in wanted
+    said = [(1, "their lanterns and harbours"), (2, None), (3, "unasked words")]
+    subjects = spark.createDataFrame(said, "qid long, message string")
+    chunks = spark.createDataFrame([(0, "Heading", "A lantern in the harbour"), (1, None, "nothing here"), (2, None, None)], "position long, section string, text string")
+    blocks = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (1, 2)], "qid long, position long")
+    met = {(r.qid, r.position): sorted(r.met) for r in gates.with_met_terms(blocks, chunks, subjects).collect()}
+    assert met == {(1, 0): ["harbours", "lanterns"], (1, 1): [], (2, 0): [], (1, 2): []}
