@@ -1,5 +1,6 @@
 import random
 import struct
+import weakref
 
 import duckdb
 import numpy as np
@@ -7,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from veritrail.llm import chat_format, license_scan, piece_model, queries, telephony, token_pack, url_filter
+from veritrail.llm import chat_format, kneser_ney, license_scan, piece_model, queries, telephony, token_pack, url_filter
 from veritrail.llm import textbytes as tb
 
 ODD = ["", " ", "  ", "a  b", "   lead", "trail  ", "\n\n", "tab\tx", "日本語のテキスト", "emoji 😀 x", "a▁b", "\0nul", "x" * 50, "<s> </s> <0x0A>", "é" * 9, "....,,,;;",
@@ -211,3 +212,10 @@ def test_words_and_marks_are_encoded_apart_with_the_ids_of_whole_texts():
     ids, lengths = parts.of(token_pack.pieces(*tb.text_bytes(pa.array(texts)), ends))
     wanted = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
     assert lengths.tolist() == [len(w) for w in wanted] and ids.tolist() == [i for w in wanted for i in w]
+
+
+def test_a_worker_frees_one_model_for_another():
+    scorer = weakref.ref(kneser_ney.scorer(kneser_ney.Model(5, 64, 2)))
+    assert scorer() is not None
+    piece_model.encode_batch(public_tokenizers.path("piece_bpe_32k.model"), pa.array(["stone"]))
+    assert scorer() is None

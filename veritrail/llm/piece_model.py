@@ -316,15 +316,12 @@ class PieceModel:
         return [data[a + (skip if data[a : a + 1] == b" " else 0) : b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
-_models: dict[str, tuple[PieceModel, PieceIds]] = {}
-
-
 def _model(path: str) -> tuple[PieceModel, PieceIds]:
-    if path not in _models:
+    def read() -> tuple[PieceModel, PieceIds]:
         model = PieceModel(path)
-        _models.clear()
-        _models[path] = model, PieceIds(model.encode_segments)
-    return _models[path]
+        return model, PieceIds(model.encode_segments)
+
+    return tb.only(f"pieces {path}", read)
 
 
 def encode_batch(path: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -183,11 +183,8 @@ class PieceIds:
         return tb.gather_ragged(self._pool, starts, lengths), np.bincount(seg.rows, lengths, n).astype(np.int64)
 
 
-_encoders: dict[str, tuple[PieceIds, np.ndarray | None]] = {}
-
-
 def _encoder(path: str) -> tuple[PieceIds, np.ndarray | None]:
-    if path not in _encoders:
+    def read() -> tuple[PieceIds, np.ndarray | None]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -200,9 +197,9 @@ def _encoder(path: str) -> tuple[PieceIds, np.ndarray | None]:
 
         with open(path, encoding="utf-8") as f:
             ends = word_ends(json.load(f))
-        _encoders.clear()
-        _encoders[path] = PieceIds(encode, CACHE_BYTES), ends
-    return _encoders[path]
+        return PieceIds(encode, CACHE_BYTES), ends
+
+    return tb.only(f"tokens {path}", read)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", name: str = "token-runs") -> DataFrame:
