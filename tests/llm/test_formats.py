@@ -1,5 +1,6 @@
 import random
 import struct
+import tracemalloc
 import weakref
 
 import duckdb
@@ -219,3 +220,28 @@ def test_a_worker_frees_one_model_for_another():
     assert scorer() is not None
     piece_model.encode_batch(public_tokenizers.path("piece_bpe_32k.model"), pa.array(["stone"]))
     assert scorer() is None
+
+
+def test_a_worker_frees_its_hashed_words_for_a_model():
+    tb.hashes(tb.words(*tb.text_bytes(pa.array(["stone water"]))))
+    cache = weakref.ref(tb._large["hashes"])
+    assert cache().held() == 2
+    piece_model.encode_batch(public_tokenizers.path("piece_bpe_32k.model"), pa.array(["stone"]))
+    assert cache() is None
+
+
+def test_memory_of_encoding_does_not_grow_with_new_segments():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, rng = piece_model.PieceModel(path), random.Random(5)
+    words = ["".join(rng.choices("etaoinshrdlu", k=9)) for _ in range(200_000)]
+    tracemalloc.start()
+    ids, counts = model.encode_segments([w.encode() for w in words])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    ends = np.cumsum(counts)
+    for k in [0, 1, *range(28_000, 30_000), len(words) - 1]:  # a border between parts is among these
+        assert library.id_to_piece(ids[ends[k] - counts[k] : ends[k]].tolist()) == piece_model.merge_pieces(list(words[k]), model.rank)

@@ -29,6 +29,8 @@ from .token_pack import PieceIds
 
 SPACE = "▁"
 _NEVER = np.iinfo(np.int64).max
+#: Bytes of segments encoded at once, beyond which the edges of more would take hundreds of MB; a longer segment is encoded by itself.
+ENCODED_BYTES = 1 << 18
 
 
 def merge_pieces(symbols: list[str], rank: dict[str, tuple]) -> list[str]:
@@ -210,6 +212,15 @@ class PieceModel:
 
     def encode_segments(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of segments (spaces as spaces), joined, and how many each has."""
+        ends = np.cumsum([0, *map(len, segments)])
+        parts, at = [], 0
+        while at < len(segments) or not parts:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + ENCODED_BYTES, "right")) - 1)
+            parts.append(self._encode(segments[at:to]))
+            at = to
+        return tuple(map(np.concatenate, zip(*parts))) if len(parts) > 1 else parts[0]
+
+    def _encode(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         between = b"\xff\xff\xff\xff"  # no character
         text = b"".join([x for s in segments for x in (s.decode().replace(" ", SPACE).encode("utf-32-le"), between)])
         points = np.frombuffer(text, np.uint32)
