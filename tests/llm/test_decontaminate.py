@@ -1,10 +1,12 @@
 import itertools
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from veritrail.llm import decontaminate as dc
+from veritrail.llm.shared import BATCH_BYTES
 
 RNG = random.Random(11)
 WORDS = ["".join(RNG.choice("abcdefghij") for _ in range(3)) for _ in range(400)]
@@ -99,3 +101,15 @@ def test_repeated_and_null_ids_lose_only_copies(spark):
     kept = sorted(((r.doc_id, r.text) for r in once.collect()), key=repr)
     assert kept == sorted([(7, said[0]), (3, said[1]), (None, said[2]), (9, said[3]), (None, item), (8, said[4])], key=repr)
     assert (None, item) not in {(r.doc_id, r.text) for r in corpus_pipeline.drop_leaks(spark, once, sf).collect()}
+
+
+def test_stages_hand_long_texts_over_in_bounded_batches(spark):
+    docs = spark.range(0, 6000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 3000).alias("text"))
+    corpus_pipeline.STAGES[-1][1](spark, docs, "")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["rows", "size"])
+
+    got = docs.mapInArrow(sizes, "rows long, size long").collect()
+    assert sum(r.rows for r in got) == 6000 and max(r.size for r in got) < 2 * BATCH_BYTES
