@@ -165,3 +165,29 @@ def test_recall_on_the_given_documents(spark):
                 links += 1
                 caught += got[q] == got[i]
     assert links > 5 and caught >= 0.99 * links
+
+
+def test_rows_of_other_buckets_do_not_pay_for_a_large_group(spark, monkeypatch):
+    """A group that the bound rules out is not compared pair by pair because many other rows share a bucket with a copy."""
+    base = text(160)
+    rows = [(k, changed(base, 4)) for k in range(150)]
+    for k in range(300):
+        other = text(40)
+        rows += [(1000 + 2 * k, other), (1001 + 2 * k, other + " x")]
+    made, compared, bucket_pairs, linked = [], [], nd._bucket_pairs, nd._linked
+
+    def counted_bucket_pairs(live, tallies):
+        pairs = bucket_pairs(live, tallies)
+        made.append((pairs.count(), tallies.agg({"rows": "sum"}).first()[0]))
+        return pairs
+
+    def counted_linked(pairs, texts, threshold):
+        compared.append(pairs.count())
+        return linked(pairs, texts, threshold)
+
+    monkeypatch.setattr(nd, "_bucket_pairs", counted_bucket_pairs)
+    monkeypatch.setattr(nd, "_linked", counted_linked)
+    got = {r.doc_id: r.class_id for r in nd.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows[:150]) | {k: k - k % 2 for k, _ in rows[150:]}
+    assert made and all(pairs <= nd.PAIRS_A_ROW * of for pairs, of in made[: nd.TURNS])  # before the bound has thinned the group
+    assert sum(compared[1:]) < 150 * 149 / 4
