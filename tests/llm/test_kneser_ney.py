@@ -183,3 +183,36 @@ def test_rejection_is_chosen_on_texts_out_of_the_counts(spark):
     for n in (8, 20, 200):
         assert np.mean([r.language.rejected for r in got if r.n == n and r.truth == "cc"]) > 0.9
         assert np.mean([r.language.rejected for r in got if r.n == n and r.truth != "cc"]) < 0.05
+
+
+def test_language_normalises_texts_only_where_words_are_read(spark, monkeypatch):
+    """Of the plans whose words are read each makes them once, and the one that counts texts by language makes none."""
+    plans, counted, collect = {}, kn.word_counts, type(spark.range(1)).collect
+
+    def planned(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace")
+
+    def counted_words(df):
+        plans["words"] = planned(df)
+        return counted(df)
+
+    def collected(df):
+        plans.setdefault("languages", planned(df))
+        return collect(df)
+
+    monkeypatch.setattr(kn, "word_counts", counted_words)
+    monkeypatch.setattr(type(spark.range(1)), "collect", collected)
+    docs = spark.createDataFrame([(k, "ta ki mo sur", "aa") for k in range(200)], "doc_id long, text string, lang string")
+    assert language_id.fit(docs).languages == ["aa"]
+    assert plans == {"words": 1, "languages": 0}
+
+
+def test_has_words_where_normal_words_are_not_empty(spark):
+    codes = spark.range(0x110000).filter("id not between 55296 and 57343")
+    utf16 = F.when(F.col("id") < 0x10000, F.format_string("%04x", "id")).otherwise(
+        F.format_string("%04x%04x", F.lit(0xD800) + F.shiftright(F.col("id") - 0x10000, 10), F.lit(0xDC00) + (F.col("id") - 0x10000) % 1024)
+    )
+    texts = codes.select(F.decode(F.unhex(utf16), "UTF-16BE").alias("text")).unionByName(spark.createDataFrame([(None,), ("",), ("1 2",), ("1\u0301",)], "text string"))
+    words = kn.normal_words(F.col("text"), language_id.WORD) != ""
+    got = texts.agg(F.count_if(words).alias("some"), F.count_if(language_id.has_words(F.col("text")) != words).alias("wrong"), F.countDistinct("text").alias("texts")).first()
+    assert got.some > 100_000 and got.wrong == 0 and got.texts > 1_111_000

@@ -113,6 +113,11 @@ def entropies(model: kn.Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray
     return -sums[:, :-1] / length[:, None], sums[:, -1]
 
 
+def has_words(text: Column) -> Column:
+    """Whether the normal words of a text are not empty, found without making them."""
+    return F.lower(F.coalesce(text, F.lit(""))).rlike(f"[{WORD}]")
+
+
 def fit(docs: DataFrame, order: int = 5, hash_bits: int = 64, calibration_rows: int = CALIBRATION_ROWS) -> LanguageModel | None:
     """Learn from ``docs`` (doc_id, text, lang), without ids whose crc32 mod 4 is 2.
 
@@ -122,8 +127,9 @@ def fit(docs: DataFrame, order: int = 5, hash_bits: int = 64, calibration_rows:
     counted whole.
     """
     spark = docs.sparkSession
-    known = docs.select("doc_id", "lang", kn.normal_words(F.col("text"), WORD).alias("norm"))
-    known = known.filter(F.col("lang").isNotNull() & (fold(F.col("doc_id")) % 4 != 2) & (F.col("norm") != ""))
+    # texts are counted, joined and drawn as they are, and normalised only where their words are read
+    norm = kn.normal_words(F.col("text"), WORD).alias("norm")
+    known = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & (fold(F.col("doc_id")) % 4 != 2) & has_words(F.col("text")))
     known = known.withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(_SHARES)))
     drawn = F.count_if(F.col("draw") < int(CALIBRATION_SHARE * _SHARES))
     rows = known.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), drawn.alias("drawn")).limit(kn.MAX_CLASSES + 1).collect()  # train() refuses more
@@ -136,7 +142,7 @@ def fit(docs: DataFrame, order: int = 5, hash_bits: int = 64, calibration_rows:
     numbers = spark.createDataFrame(numbers, "lang string, cls int, below long, apart boolean")
     known = known.join(F.broadcast(numbers), "lang")  # at most MAX_CLASSES rows, else train() refuses
     chosen = F.col("draw") < F.col("below")
-    counts = stored(kn.word_counts(known.filter(~(chosen & F.col("apart")))), "language-words")
+    counts = stored(kn.word_counts(known.filter(~(chosen & F.col("apart"))).select("cls", norm)), "language-words")
     model = kn.train(counts, order, hash_bits, len(languages))
     fitted = LanguageModel(model, languages, *(np.zeros(len(languages)) for _ in range(3)))
     held = kn.shared_model(spark, model)
@@ -159,7 +165,7 @@ def fit(docs: DataFrame, order: int = 5, hash_bits: int = 64, calibration_rows:
         return F.struct(F.lit(count).alias("run"), F.array_join(F.slice(words, start + 1, F.lit(count)), " ").alias("norm"))
 
     parts = F.explode(F.array(F.struct(F.lit(0).alias("run"), F.col("norm")), *(some(r) for r in RUNS)))
-    parts = known.filter(chosen).select("cls", parts.alias("part")).select("cls", "part.*")
+    parts = known.filter(chosen).select("doc_id", "cls", norm).select("cls", parts.alias("part")).select("cls", "part.*")
     rows = parts.mapInArrow(measure, "run int, cls int, own double, other int, other_h double, n double").toArrow()
     fitted.calibrate(*(np.asarray(rows.column(c)) for c in rows.column_names))
     return fitted
